@@ -1,0 +1,55 @@
+"""Ids of text chunks, computed once for each different chunk of a worker."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+
+#: Chunks remembered between batches; those beyond it only for their batch.
+KEPT_CHUNKS = 1_000_000
+
+
+class _Grown:
+    def __init__(self, dtype) -> None:
+        self.data, self.n = np.zeros(1024, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.resize(self.data, max(2 * len(self.data), self.n + len(values)))
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+class ChunkCache:
+    """encode(list of chunks) gives (all ids in one array, ids per chunk)."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+        self.encode, self.index = encode, {}
+        self.ids, self.starts, self.sizes = _Grown(np.int32), _Grown(np.int64), _Grown(np.int64)
+
+    def lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in order, number of ids of each chunk)"""
+        at = list(map(self.index.get, chunks))
+        kept = (len(self.index), self.ids.n, self.starts.n)
+        new: list[str] = []
+        if None in at:
+            new = list({c for c, i in zip(chunks, at, strict=True) if i is None})
+            ids, sizes = self.encode(new)
+            self.starts.add(self.ids.n + np.cumsum(sizes) - sizes)
+            self.sizes.add(sizes)
+            self.ids.add(ids)
+            self.index.update(zip(new, range(kept[2], kept[2] + len(new)), strict=True))
+            at = list(map(self.index.__getitem__, chunks))
+        rows = np.array(at, np.int64)
+        sizes = self.sizes.data[rows]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.ids.data[np.repeat(self.starts.data[rows] - (ends - sizes), sizes) + np.arange(total)]
+        if len(self.index) > KEPT_CHUNKS and new:
+            stay = max(0, KEPT_CHUNKS - kept[0])
+            for c in new[stay:]:
+                del self.index[c]
+            self.starts.n = self.sizes.n = kept[2] + stay
+            self.ids.n = int(self.starts.data[self.starts.n]) if stay < len(new) else self.ids.n
+        return out, sizes
