@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BUCKETS = 1 << 14
 NGRAMS = (1, 2, 3)
 SLICE_CHARS = 1 << 20
@@ -107,13 +109,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], out: tuple[str
     for the text's mean n-gram log-likelihood, sharpened to the evidence of at
     most SHARP n-grams so that long texts keep a meaningful score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    marked = docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    (letter,) = fresh(docs, "has_letter")
+    marked = docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     names = [c for c in docs.columns if c not in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, table = shared.value
         for batch in batches:
-            lettered = batch.column("__letter").to_numpy(zero_copy_only=False)
+            lettered = batch.column(letter).to_numpy(zero_copy_only=False)
             texts = [t or "" for t in batch.column("text").to_pylist()]
             best, score = ["und"] * len(texts), np.zeros(len(texts))
             for at, some in _parts(texts) if languages else ():
@@ -156,8 +159,9 @@ def train_on_documents(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is told with a score of `least` or more."""
-    found = predict(docs, train_on_documents(docs), ("__lang", "__score"))
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(docs.columns)
+    lang, score = fresh(docs, "told_lang", "told_score")
+    found = predict(docs, train_on_documents(docs), (lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= least)).select(docs.columns)
 
 
 def identify(docs: DataFrame) -> DataFrame:
