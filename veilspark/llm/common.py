@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text hashed at a time inside a task; bounds numpy temporaries.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -99,7 +99,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            size = 1 << max(12, int(n - 1).bit_length())
+            size = -(-n // 65536) * 65536
             for name, base in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
