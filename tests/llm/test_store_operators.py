@@ -3,6 +3,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,7 +126,7 @@ def test_chunked_encoding_equals_whole_texts(document_rows):
     rng = random.Random(2)
     parts = ["the", "ing", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\u2028", "\xa0", "é", "e\u0301", "\u0301", "Σ", "ΟΔΟΣ", "İ", "'s", "'LL", "12", "<|endoftext|>", "<|start", "oftext|>", "日本", "\U0001f600", "#$%"]
     texts = [t for _, t in document_rows] + ["", None] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
-    for text, ids in zip(texts, token_store.encode_texts(texts, token_store.default_tokenizer()), strict=True):
+    for text, ids in zip(texts, token_store.encode_texts(pa.array(texts, pa.string()), token_store.default_tokenizer()), strict=True):
         assert tokenizer.encode(text or "", add_special_tokens=False).ids == ids.tolist(), repr(text)
 
 
@@ -160,7 +161,7 @@ def test_cache_overflow_keeps_results(monkeypatch, document_rows):
     for _ in range(2):
         for t in texts:
             chunks = piece_codec.CHUNK.findall(piece_codec.MARK + t.replace(" ", piece_codec.MARK)) if t else []
-            assert small.lookup(chunks)[0].tolist() == piece_codec.encode_texts([t], path)[0].tolist()
+            assert small.lookup(pa.array(chunks, pa.string()))[0].tolist() == piece_codec.encode_texts([t], path)[0].tolist()
     assert len(small.index) <= 50
 
 

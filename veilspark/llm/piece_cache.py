@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 #: Chunks remembered between batches; those beyond it only for their batch.
 KEPT_CHUNKS = 1_000_000
@@ -28,20 +29,21 @@ class ChunkCache:
         self.encode, self.index = encode, {}
         self.ids, self.starts, self.sizes = _Grown(np.int32), _Grown(np.int64), _Grown(np.int64)
 
-    def lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def lookup(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in order, number of ids of each chunk)"""
-        at = list(map(self.index.get, chunks))
+        coded = chunks.dictionary_encode()
+        values = coded.dictionary.to_pylist()
+        at = list(map(self.index.get, values))
         kept = (len(self.index), self.ids.n, self.starts.n)
-        new: list[str] = []
-        if None in at:
-            new = list({c for c, i in zip(chunks, at, strict=True) if i is None})
+        new = [c for c, i in zip(values, at, strict=True) if i is None]
+        if new:
             ids, sizes = self.encode(new)
             self.starts.add(self.ids.n + np.cumsum(sizes) - sizes)
             self.sizes.add(sizes)
             self.ids.add(ids)
             self.index.update(zip(new, range(kept[2], kept[2] + len(new)), strict=True))
-            at = list(map(self.index.__getitem__, chunks))
-        rows = np.array(at, np.int64)
+            at = list(map(self.index.__getitem__, values))
+        rows = np.array(at, np.int64)[coded.indices.to_numpy()]
         sizes = self.sizes.data[rows]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

@@ -271,7 +271,7 @@ def model_of(path: str) -> tuple[PieceModel, ChunkCache]:
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     split = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
-    ids, sizes = model_of(path)[1].lookup([c for s in split for c in s])
+    ids, sizes = model_of(path)[1].lookup(pa.array([c for s in split for c in s], pa.large_string()))
     ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
     return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 

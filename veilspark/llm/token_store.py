@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,12 +196,13 @@ def _cache(model: str) -> ChunkCache:
     return _CACHES[model]
 
 
-def encode_texts(texts: list[str | None], model: str) -> list[np.ndarray]:
+def encode_texts(texts: pa.Array, model: str) -> list[np.ndarray]:
     """Ids of whole texts. The tokenizer's pre-tokens never reach over a blank,
     so a text's ids are those of its blank-separated chunks in a row."""
-    split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
-    ids, sizes = _cache(model).lookup([c for s in split for c in s])
+    plain = pc.replace_substring(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), "\t", " ")
+    split = pc.split_pattern(plain, " ")
+    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    ids, sizes = _cache(model).lookup(pc.list_flatten(split))
     ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
     return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
@@ -223,8 +225,8 @@ def write_shards(docs: DataFrame, model: str | None = None, partitions: int | No
 
         end = np.array([END_ID], np.int32)
         for batch in batches:
-            for piece in slices(batch, "text"):
-                found = encode_texts(piece.column("text").to_pylist(), model)
+            for piece in slices(batch, "text", 4 << 20):
+                found = encode_texts(piece.column("text"), model)
                 for doc, run in zip(piece.column("doc_id").to_pylist(), found, strict=True):
                     ids.append(doc)
                     runs.append(np.concatenate([run, end]))
