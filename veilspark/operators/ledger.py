@@ -129,8 +129,10 @@ def generate_keys(spark: SparkSession, folder: str, name: str = "ledger") -> tup
     existing file is never overwritten."""
     paths = os.path.join(folder, f"{name}.key"), os.path.join(folder, f"{name}.pub")
     pair = _java(spark).KeyPairGenerator.getInstance("Ed25519").generateKeyPair()
-    for path, kind, key, mode in ((paths[0], "PRIVATE", pair.getPrivate(), 0o600), (paths[1], "PUBLIC", pair.getPublic(), 0o644)):
-        body = base64.encodebytes(bytes(key.getEncoded())).decode()
+    factory, named = _java(spark).KeyFactory.getInstance("Ed25519"), spark.sparkContext._jvm.java.lang.Class.forName
+    keys = ("PRIVATE", pair.getPrivate(), "PKCS8EncodedKeySpec", 0o600), ("PUBLIC", pair.getPublic(), "X509EncodedKeySpec", 0o644)
+    for path, (kind, key, spec, mode) in zip(paths, keys, strict=True):
+        body = base64.encodebytes(bytes(factory.getKeySpec(key, named(f"java.security.spec.{spec}")).getEncoded())).decode()
         with os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, mode), "w") as f:
             f.write(f"-----BEGIN {kind} KEY-----\n{body}-----END {kind} KEY-----\n")
     return paths

@@ -15,6 +15,7 @@ from ..functions import seeded
 
 def window_counts(events: DataFrame, time: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, kind, n) per tumbling window; works on streams and tables alike."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     stream = events.withWatermark(time, late) if events.isStreaming else events
     return stream.groupBy(F.window(time, width).alias("w"), F.col(kind).alias("kind")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
 
