@@ -36,7 +36,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' piece ids, with a check of their decoding."""
-    rows = piece_codec.decode(piece_codec.encode(docs))
+    rows = piece_codec.encode(docs, decoded=True)
     exact = F.col("decoded").eqNullSafe(F.translate("text", piece_codec.MARK, " "))
     return rows.select("doc_id", "lang", "source", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"), exact.alias("round_trip"), "piece_ids")
 

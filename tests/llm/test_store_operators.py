@@ -198,6 +198,8 @@ def test_piece_edges(odd_documents, no_documents):
     rows = piece_codec.encode(odd_documents)
     assert rows.columns[:3] == ["doc_id", "text", "lang"] and rows.where("doc_id = 1").first()["piece_ids"] is None
     assert piece_codec.codec_digest(no_documents).count() == 0
+    twice = piece_codec.decode(rows).select("doc_id", "decoded")
+    assert sorted(map(str, twice.collect())) == sorted(map(str, piece_codec.encode(odd_documents, decoded=True).select("doc_id", "decoded").collect()))
 
 
 # near copies

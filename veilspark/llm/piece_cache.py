@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks remembered between batches; those beyond it only for their batch.
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 600_000
 
 
 class _Grown:

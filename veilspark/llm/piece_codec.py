@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from .common import slices
 from .piece_cache import ChunkCache
@@ -212,8 +213,9 @@ class PieceModel:
             symbol = spread
         return symbol.astype(np.int32), np.bincount(own, minlength=n)
 
-    def decode(self, ids) -> str:
-        raw = b"".join([self.text[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> str:
+        text = self.text
+        raw = b"".join([text[i] for i in ids.tolist()])
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
@@ -276,25 +278,26 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _schema_with(df: DataFrame, name: str, kind: str):
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    return StructType([f for f in df.schema.fields if f.name != name]).add(name, _parse_datatype_string(kind))
-
-
-def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """docs with the column piece_ids (array<int>) of text; one of that name is replaced."""
+def encode(docs: DataFrame, model: str | None = None, decoded: bool = False) -> DataFrame:
+    """docs with the column piece_ids (array<int>) of text, and with `decoded`
+    also the ids' text, made in the same pass; columns of these names are replaced."""
     model = model or default_model()
-    names = [c for c in docs.columns if c != "piece_ids"]
+    new = ["piece_ids", "decoded"] if decoded else ["piece_ids"]
+    names = [c for c in docs.columns if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 ids = [None if t is None else i for t, i in zip(texts, encode_texts(texts, model), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids, pa.list_(pa.int32()))], [*names, "piece_ids"])
+                out = [pa.array(ids, pa.list_(pa.int32()))]
+                if decoded:
+                    own = model_of(model)[0]
+                    out.append(pa.array([None if i is None else own.decode(i) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *out], [*names, *new])
 
-    return docs.mapInArrow(run, _schema_with(docs, "piece_ids", "array<int>"))
+    schema = StructType([docs.schema[c] for c in names]).add("piece_ids", ArrayType(IntegerType()))
+    return docs.mapInArrow(run, schema.add("decoded", StringType()) if decoded else schema)
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
@@ -309,16 +312,16 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
                 texts = [model_of(model)[0].decode(x.values.to_numpy()) if x.is_valid else None for x in part.column("piece_ids")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return rows.mapInArrow(run, _schema_with(rows, "decoded", "string"))
+    return rows.mapInArrow(run, StructType([rows.schema[c] for c in names]).add("decoded", StringType()))
 
 
 def codec_digest(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_pieces, ids_sha256, round_trip for every row of docs (doc_id, text)."""
-    rows = decode(encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model), model)
+    rows = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, decoded=True)
     return rows.select(
         "doc_id",
         F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
-        F.sha2(F.array_join(F.coalesce("piece_ids", F.array().cast("array<int>")).cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.coalesce(F.col("piece_ids").cast("string"), F.lit("[]")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.col("decoded").eqNullSafe(F.translate("text", MARK, " ")).alias("round_trip"),
     )
