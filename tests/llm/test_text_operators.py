@@ -232,13 +232,21 @@ def test_quality_edges(odd_documents, no_documents):
 def test_em_finds_the_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.7
-    accuracy = [0.95, 0.8, 0.7, 0.9]
+    accuracy = [0.95, 0.8, 0.75, 0.9]
     counts = {}
     for y in truth:
         votes = tuple(0 if rng.random() < 0.2 else (1 if y else -1) * (1 if rng.random() < a else -1) for a in accuracy)
         counts[votes] = counts.get(votes, 0) + 1
-    good, found = quality_rules.estimate(sorted(counts.items()))
-    assert abs(good - 0.7) < 0.03 and np.allclose(found, accuracy, atol=0.03)
+    good, rates = quality_rules.estimate(sorted(counts.items()), 4)
+    assert abs(good - 0.7) < 0.03 and np.allclose(quality_rules.accuracies(good, rates), accuracy, atol=0.03)
+
+
+def test_rules_reject_shouted_text_and_keep_the_rest(spark, documents):
+    text = " ".join(w + "!!" for w in "SOME WORDS OF A TEXT THAT GOES ON FOR A WHILE AND STOPS".split())
+    junk = spark.createDataFrame([(10**6 + i, text + " X" + str(i)) for i in range(12)], "doc_id long, text string")
+    plain = spark.createDataFrame([(2 * 10**6, "a short but clean sentence with its dozen of quite ordinary words")], "doc_id long, text string")
+    got = quality_rules.quality(documents.select("doc_id", "text").unionByName(junk).unionByName(plain))
+    assert [r["doc_id"] for r in got.where("doc_id >= 1000000 and kept").collect()] == [2 * 10**6]
 
 
 def test_most_documents_are_kept(documents):

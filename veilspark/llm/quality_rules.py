@@ -2,16 +2,20 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. The votes of
 all documents are counted by pattern (3 ** rules patterns at most, whatever the
-corpus), expectation-maximisation over those counts estimates the share of good
-documents and the accuracy of each rule, and a document's posterior probability
-of being good, written back as a column expression, decides. The base check
-(too short, or too much repeated text) rejects before that.
+corpus). Expectation-maximisation over those counts estimates the share of good
+documents and, for either kind of document, how often a rule that votes objects;
+that tells a rule whose good votes say little from one whose objections say much.
+An abstention says nothing. A document's posterior probability of being good,
+written back as a column expression, decides. The base check (too short, or too
+much repeated text) rejects before that, and only documents that pass it, all of
+them, are counted: the verdict is about those. The start makes "good" the kind
+that rules seldom object to.
 
 The features of a document are computed inside its own row: no shuffle, and no
 word leaves its text.
 
 Edge cases: a null or empty text has no words and fails the base check; equal
-rows get equal results; an empty table keeps the starting accuracies.
+rows get equal results; an empty table keeps the starting rates.
 """
 
 from __future__ import annotations
@@ -24,10 +28,13 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SEPARATORS = " \t\n\x0b\f\r"
-ROUNDS = 50
-START_ACCURACY = 0.8
-START_GOOD = 0.8
-BOUNDS = (0.55, 0.995)
+ROUNDS = 100
+#: Starting values: the share of good documents, and how often a voting rule
+#: objects to a good and to a bad one (a bad one is usually bad in one way
+#: only); no estimate gets closer to 0 or 1 than LEAST.
+START_GOOD = 0.85
+START_OBJECTIONS = (0.003, 0.15)
+LEAST = 1e-4
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -55,6 +62,8 @@ def features(docs: DataFrame) -> DataFrame:
         n.cast("long").alias("n_words"),
         F.length(F.translate("t", SEPARATORS, "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("t", F.lit("!")).cast("long").alias("n_exclaim"),
+        F.regexp_count("t", F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
         F.size(real).cast("long").alias("n_lines"),
         (F.size(real) - F.size(F.array_distinct(real))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
@@ -87,40 +96,54 @@ def rules() -> dict[str, Column]:
     def vote(value: Column, good: Column, bad: Column) -> Column:
         return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
 
-    mean, symbols = F.col("word_chars") / n, F.col("n_symbols") / n
-    lines, repeats = F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), F.col("n_repeat_words") / n
-    distinct = F.col("n_distinct") / n
+    mean, symbols, shouts = F.col("word_chars") / n, F.col("n_symbols") / n, F.col("n_exclaim") / n
+    upper, lines = F.col("n_upper") / F.greatest("word_chars", F.lit(1)), F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))
+    repeats, distinct = F.col("n_repeat_words") / n, F.col("n_distinct") / n
     return {
-        "length": vote(n, n >= 40, n < 15),
-        "word_length": vote(mean, mean.between(3.0, 9.0), (mean < 2.0) | (mean > 14.0)),
-        "symbols": vote(symbols, symbols <= 0.05, symbols > 0.3),
-        "lines": vote(lines, lines <= 0.1, lines > 0.3),
+        "word_length": vote(mean, mean.between(3.0, 10.0), (mean < 2.0) | (mean > 14.0)),
+        "symbols": vote(symbols, symbols <= 0.05, symbols > 0.25),
+        "shouting": vote(shouts, shouts <= 0.05, shouts > 0.3),
+        "capitals": vote(upper, upper <= 0.1, upper > 0.3),
+        "lines": vote(lines, lines <= 0.1, lines > 0.5),
         "repeats": vote(repeats, repeats <= 0.1, repeats > 0.2),
-        "variety": vote(distinct, distinct >= 0.3, distinct < 0.1),
+        "variety": vote(distinct, distinct >= 0.2, distinct < 0.05),
         "longest": vote(F.col("longest"), F.col("longest") <= 40, F.col("longest") > 200),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float]]:
-    """EM over (votes, count): share of good documents and accuracy per rule."""
-    k = len(patterns[0][0]) if patterns else 0
-    good, accuracy = START_GOOD, [START_ACCURACY] * k
-    for _ in range(ROUNDS):
-        total, mass, right, cast = 0.0, 0.0, [0.0] * k, [0.0] * k
+def estimate(patterns: list[tuple[tuple[int, ...], int]], k: int) -> tuple[float, list[tuple[float, float]]]:
+    """EM over (votes of k rules, count): the share of good documents, and per
+    rule the rates of objection to good and to bad documents where it votes."""
+    good, rates = START_GOOD, [START_OBJECTIONS] * k
+    inside = lambda x: min(max(x, LEAST), 1 - LEAST)
+    for _ in range(ROUNDS if patterns else 0):
+        mass, voted, against = [0.0, 0.0], [[0.0, 0.0] for _ in range(k)], [[0.0, 0.0] for _ in range(k)]
         for votes, n in patterns:
-            p = posterior(votes, good, accuracy)
-            total, mass = total + n, mass + n * p
-            for j, v in enumerate(votes):
-                if v:
-                    cast[j] += n
-                    right[j] += n * (p if v > 0 else 1 - p)
-        good = min(max(mass / total, 0.01), 0.99)
-        accuracy = [min(max(r / c, BOUNDS[0]), BOUNDS[1]) if c else a for r, c, a in zip(right, cast, accuracy, strict=True)]
-    return good, accuracy
+            p = posterior(votes, good, rates)
+            for kind, weight in enumerate((n * p, n * (1 - p))):
+                mass[kind] += weight
+                for j, v in enumerate(votes):
+                    voted[j][kind] += weight * abs(v)
+                    against[j][kind] += weight * (v < 0)
+        good = inside(mass[0] / sum(mass))
+        rates = [tuple(inside(a / n) if n else r for a, n, r in zip(against[j], voted[j], rates[j], strict=True)) for j in range(k)]
+    return good, rates
 
 
-def posterior(votes: tuple[int, ...], good: float, accuracy: list[float]) -> float:
-    return 1 / (1 + math.exp(-sum((v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy, strict=True)), math.log(good / (1 - good)))))
+def accuracies(good: float, rates: list[tuple[float, float]]) -> list[float]:
+    """How often each rule is right where it votes."""
+    return [good * (1 - on_good) + (1 - good) * on_bad for on_good, on_bad in rates]
+
+
+def evidence(rates: list[tuple[float, float]], j: int, vote: int) -> float:
+    """Log odds that a vote of rule j adds for "good"."""
+    on_good, on_bad = rates[j]
+    return math.log(on_good / on_bad) if vote < 0 else math.log((1 - on_good) / (1 - on_bad)) if vote > 0 else 0.0
+
+
+def posterior(votes: tuple[int, ...], good: float, rates: list[tuple[float, float]]) -> float:
+    logit = math.log(good / (1 - good)) + sum(evidence(rates, j, v) for j, v in enumerate(votes))
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, logit))))
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -128,12 +151,13 @@ def quality(docs: DataFrame) -> DataFrame:
     found = materialize(features(docs), "quality")
     names = list(rules())
     voted = found.select("*", *[v.alias(f"v_{r}") for r, v in rules().items()])
-    counts = voted.groupBy(*[f"v_{r}" for r in names]).count().collect()  # 3 ** rules rows at most
+    counts = voted.where(~base_failed()).groupBy(*[f"v_{r}" for r in names]).count().collect()  # 3 ** rules rows at most
     patterns = sorted((tuple(c[f"v_{r}"] for r in names), c["count"]) for c in counts)
-    good, accuracy = estimate(patterns) if patterns else (START_GOOD, [START_ACCURACY] * len(names))
+    good, rates = estimate(patterns, len(names))
     logit = F.lit(math.log(good / (1 - good)))
-    for r, a in zip(names, accuracy, strict=True):
-        logit = logit + F.col(f"v_{r}") * F.lit(math.log(a / (1 - a)))
+    for j, r in enumerate(names):
+        v = F.col(f"v_{r}")
+        logit = logit + F.when(v > 0, evidence(rates, j, 1)).when(v < 0, evidence(rates, j, -1)).otherwise(0.0)
     scored = voted.withColumn("quality_probability", 1 / (1 + F.exp(-logit))).withColumn("base_failed", base_failed())
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
