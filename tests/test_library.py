@@ -328,3 +328,32 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("noisy").collect())) == sorted(map(tuple, noisy_window_counts(events, 2.0).collect()))
+
+
+def test_projection(spark, correlated):
+    from veilspark.operators.projection import project
+
+    df = correlated.withColumn("w", seeded.uniform("w", "rid"))
+    clouds = project(df, {"real": df, "few": df.where("rid < 50")}, ["x", "y", "w"])
+    assert clouds["real"].count() == 700 and clouds["few"].count() == 50
+    assert clouds["real"].where("abs(x) > 2.5 or abs(y) > 2.5 or abs(z) > 2.5").count() == 0
+    r = clouds["few"].join(df, "rid").agg(F.corr(clouds["few"]["x"], df["x"])).first()[0]
+    assert r > 0.9  # the first axis follows the correlated columns
+    with pytest.raises(ValueError):
+        project(df, {}, ["x", "y"])
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from veilspark.cli import main
+
+    assert main(["mechanisms"]) == 0 and "pairwise" in capsys.readouterr().out
+    (tmp_path / "p.csv").write_text("age,city\n" + "".join(f"{i},{'ab'[i % 2]}\n" for i in range(120)))
+    assert main(["infer-schema", str(tmp_path / "p.csv")]) == 0
+    (tmp_path / "s.json").write_text(capsys.readouterr().out)
+    assert main(["keygen", str(tmp_path)]) == 0
+    private, public = capsys.readouterr().out.split()
+    sheet = str(tmp_path / "sheet.json")
+    assert main(["run", "--input", str(tmp_path / "p.csv"), "--schema", str(tmp_path / "s.json"), "--eps", "2", "--mechanism", "independent", "--canaries", "10", "--ledger", str(tmp_path / "l"), "--sign", private, "--output", sheet]) == 0
+    assert main(["verify", sheet, "--key", public]) == 0
+    (tmp_path / "bad.json").write_text(open(sheet).read().replace('"rows": 84', '"rows": 85'))
+    assert main(["verify", str(tmp_path / "bad.json"), "--key", public]) == 1
