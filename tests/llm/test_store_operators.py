@@ -306,3 +306,6 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: root(x) for x in up}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    half = components.components(spark.createDataFrame(pairs[:45], "a long, b long"))
+    both = components.with_links(half, spark.createDataFrame([p for p in pairs[45:] if p[0] != p[1]], "a long, b long"))
+    assert {r["node"]: r["label"] for r in both.collect()} == got
