@@ -28,7 +28,7 @@ def project(real: DataFrame, clouds: dict[str, DataFrame], columns: list[str], k
     unit = real.agg(*[F.avg(c).alias("m" + c) for c in columns], *[F.stddev_pop(c).alias("s" + c) for c in columns]).first()
     assemble = VectorAssembler(inputCols=columns, outputCol="__v")
     base = _standardised(real.withColumnRenamed(key, "rid"), columns, unit)
-    axes = PCA(k=3, inputCol="__v", outputCol="__p").fit(assemble.transform(base)).pc.toArray()
+    axes = PCA(k=3, inputCol="__v", outputCol="__p").fit(assemble.transform(base)).pc.toArray().copy()
     for k in range(3):
         if axes[abs(axes[:, k]).argmax(), k] < 0:
             axes[:, k] *= -1
