@@ -272,6 +272,29 @@ def test_unrelated_members_of_a_large_bucket(spark, monkeypatch):
     assert got == order_minhash.brute_force(rows)
 
 
+def edited(rng, words, edits, keep=()):
+    """words with that many of them replaced by new ones, none at the places to keep."""
+    words = list(words)
+    for i in rng.sample([i for i in range(len(words)) if i not in keep], edits):
+        words[i] = f"n{rng.getrandbits(60)}"
+    return words
+
+
+def near_classes(spark, rows):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    return {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(df).collect()}
+
+
+def test_outlier_of_a_crowded_group(spark):
+    """Every bucket of the outlier is crowded with almost equal copies."""
+    rng, rows = random.Random(6), []
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(200)]
+        rows += [(100 * g + k, edited(rng, base, 1)) for k in range(40)] + [(100 * g + 99, edited(rng, base, 16))]
+    got = near_classes(spark, rows)
+    assert [got[100 * g + 99] for g in range(8)] == [100 * g for g in range(8)]
+
+
 def test_near_duplicates_on_documents(documents, document_rows):
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(documents).collect()}
     rows = [r for r in document_rows if len((r[1] or "").split()) < 800]

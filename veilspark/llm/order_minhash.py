@@ -9,18 +9,15 @@ their words: a link needs 1 - edits / longer length >= SIMILARITY.
 
 Documents with equal words are one class from the start and only the class's
 smallest id is sketched and compared. In buckets of at most SMALL members all
-pairs are compared. A larger bucket is dealt again by pairs of keys, its own and
-each of the FOLLOW next tables', which separates documents that only share a
-common passage and keeps near copies together (a pair that meets in a table at
-J = 0.8 that meets in crowded buckets only still meets again with a probability
-of 1 - 2e-7 over all tables). In
-the new buckets of at most SMALL members all pairs are compared; in those still
-larger, groups of near copies, a few heads are compared with every member;
-a member that no head's component contains becomes a head of a later round,
-SMALL times as many a round, until each is in the component of a head. So
-thousands of near copies cost one comparison each, not all pairs, and the
-components are those of all links to heads. (Left out are only pairs of two
-non-heads in different components in every large bucket that they share.)
+pairs are compared. In a larger one its smallest id, the head, meets every
+member; then all pairs of members in different components are compared, in
+salted blocks: the members outside of the bucket's largest component against all.
+Lengths and bags of words (half the summed difference of 256 counts, a lower
+bound of the edits) rule out most of those pairs exactly, a pair is looked at in
+the first table it shares only, and of one member's pairs with one component SMALL
+are aligned first, SMALL times as many a round while any are left. So thousands of
+near copies cost one alignment each, and the components are those of all links
+between documents that share a key.
 
 At a Jaccard similarity J of the labelled sequences a pair meets in a table with
 probability of about J ** SAMPLE: 1 - 1e-9 at 0.8, 0.999 at 0.6 over 32 tables.
@@ -49,7 +46,9 @@ SAMPLE = 3
 TABLES = 32
 SIMILARITY = 0.8
 SMALL = 16
-FOLLOW = 2
+#: Members of a block of a large bucket; bins of a document's bag of words.
+BLOCK = 512
+BINS = 256
 #: Values hashed at a time for one document; more tables wait for the next pass.
 MOST_VALUES = 1 << 21
 
@@ -96,17 +95,21 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, counts = window_starts(first, K)
             shingles = range_hashes(hashes, at, at + K, _SHINGLE)
             stops = np.cumsum(counts)
-            digests, keys = [], []
+            digests, keys, tables, bags = [], [], [], []
             for i in range(part.num_rows):
                 own = hashes[first[i] : first[i + 1]]
                 digests.append(hashlib.sha256(b" ".join(data[offsets[i] : offsets[i + 1]].tobytes().split())).digest()[:16] if len(own) else None)
                 keys.append(order_keys(shingles[stops[i] - counts[i] : stops[i]]))
+                tables.append(keys[-1].tobytes())
+                bags.append(np.minimum(np.bincount(own.view(np.int64) & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part.column("doc_id"),
                     "digest": pa.array(digests, pa.binary()),
                     "n_words": pa.array(np.diff(first), pa.int64()),
                     "keys": pa.array(keys, pa.list_(pa.int64())),
+                    "tables": pa.array(tables, pa.binary()),
+                    "bag": pa.array(bags, pa.binary()),
                 }
             )
 
@@ -214,14 +217,6 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(sizes, "key"), "buckets")
 
 
-def _key_pairs():
-    """Each crowded key of a row combined with the keys of the FOLLOW next tables."""
-    return F.expr(
-        "flatten(transform(filter(sequence(0, size(keys) - 1), i -> array_contains(crowded, keys[i])), "
-        f"i -> transform(sequence(1, {FOLLOW}), d -> xxhash64(keys[i], keys[(i + d) % size(keys)]))))"
-    )
-
-
 def _all_pairs(small: DataFrame) -> DataFrame:
     """(a, na, b, nb) of all pairs in buckets of at most SMALL members."""
     pair = F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.node as a, x.n as na, y.node as b, y.n as nb))))")
@@ -229,51 +224,87 @@ def _all_pairs(small: DataFrame) -> DataFrame:
     return members.select(F.explode(pair).alias("p")).select("p.*")
 
 
-def _unsettled(members: DataFrame, heads: DataFrame, labels: DataFrame) -> DataFrame:
-    """members (key, node, n) that are in no component of a head (key, node) of their bucket."""
-
-    def named(rows: DataFrame) -> DataFrame:
-        return rows.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    return named(members).join(named(heads).select("key", "label").distinct(), ["key", "label"], "left_anti").select("key", "node", "n")
+def _matches(group: pa.Table) -> pa.Table:
+    """Pairs (a, na, b, nb, r) of a block of left members with a block of right
+    ones, without those that lengths or bags of words rule out, that have one
+    label, or whose first common table is another bucket's. r counts the pairs of
+    one left member with one right label, the most alike first."""
+    left = group.column("left").to_numpy(zero_copy_only=False).astype(bool)
+    node, n, label = (group.column(c).to_numpy() for c in ("node", "n", "label"))
+    tables = np.frombuffer(b"".join(group.column("tables").to_pylist()), "<i8").reshape(-1, TABLES)
+    bag = np.frombuffer(b"".join(group.column("bag").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+    key, most = group.column("key")[0].as_py(), group.column("most")[0].as_py()
+    main = group.column("main")[0].as_py()
+    right, out = np.flatnonzero(~left), []
+    total = bag.sum(1, dtype=np.int64)
+    for i in np.flatnonzero(left):
+        allowed = np.floor((1 - SIMILARITY) * np.maximum(n[i], n[right]) + 1e-9)
+        # two left members of a bucket meet once, from the larger id's side
+        fits = (np.abs(n[right] - n[i]) <= allowed) & (label[right] != label[i]) & ((label[right] == main) | (node[right] < node[i]))
+        at, allowed = right[fits], allowed[fits]
+        if len(at) == 0:
+            continue
+        apart = (np.abs(bag[at] - bag[i]).sum(1, dtype=np.int64) + np.abs(total[at] - total[i])) // 2
+        at, apart = at[apart <= allowed], apart[apart <= allowed]
+        common = tables[at] == tables[i]
+        at_first = tables[i][common.argmax(1)] == key
+        own = at_first | ~common.any(1)
+        at, apart = at[own], apart[own]
+        order = np.lexsort((node[at], apart, label[at]))
+        at = at[order]
+        for j, r in zip(at.tolist(), _occurrences(label[at]).tolist() if len(at) else (), strict=True):
+            if r <= most:
+                out.append((node[i], n[i], node[j], n[j], r))
+    columns = list(zip(*out, strict=True)) or [()] * 5
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "na", "b", "nb", "r"), columns, strict=True)})
+
+
+def _across(large: DataFrame, labels: DataFrame, prints: DataFrame, most: int) -> DataFrame:
+    """(a, na, b, nb, r) of the pairs of different labels in each large bucket, with
+    r < most for the pairs to align and r = most where there are more. The members
+    outside of a bucket's most frequent label meet all members, in blocks of BLOCK."""
+    named = materialize(large.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    per = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+    per = per.agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("s"), F.count("*").alias("labels")).where("labels > 1")
+    per = per.select("key", F.col("m.label").alias("main"), F.ceil(F.col("s") / BLOCK).alias("rb"), F.ceil((F.col("s") - F.col("m.c")) / BLOCK).alias("lb"))
+    rows = named.join(per, "key").join(prints, "node")
+    mixed = F.xxhash64("node")
+    own_l, own_r = F.pmod(mixed, "lb").cast("int"), F.pmod(mixed, "rb").cast("int")
+    kept = ["key", "main", "node", "n", "label", "tables", "bag", F.lit(most).alias("most")]
+    every_r, every_l = F.explode(F.expr("sequence(0, int(rb) - 1)")), F.explode(F.expr("sequence(0, int(lb) - 1)"))
+    left = rows.where("label <> main").select(*kept, F.lit(True).alias("left"), own_l.alias("l"), every_r.alias("q"))
+    both = left.unionByName(rows.select(*kept, F.lit(False).alias("left"), every_l.alias("l"), own_r.alias("q")))
+    found = both.groupBy("key", "l", "q").applyInArrow(_matches, "a long, na long, b long, nb long, r long")
+    return materialize(found, "across")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
-    sketches = materialize(known.mapInArrow(_sketch, "doc_id long, digest binary, n_words long, keys array<long>"), "sketches")
+    sketches = materialize(known.mapInArrow(_sketch, "doc_id long, digest binary, n_words long, keys array<long>, tables binary, bag binary"), "sketches")
     classes = materialize(sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    own = sketches.select(F.col("doc_id").alias("node"), "digest", "n_words", "keys").join(classes, ["node", "digest"], "left_semi")
+    own = sketches.select(F.col("doc_id").alias("node"), "digest", "n_words", "keys", "tables", "bag").join(classes, ["node", "digest"], "left_semi")
     rows = materialize(own.select(F.explode("keys").alias("key"), "node", F.col("n_words").alias("n")).distinct(), "keys")
     shared = _buckets(rows)
-    crowded = shared.where(F.col("size") > SMALL).groupBy("node").agg(F.collect_set("key").alias("crowded"))
-    again = materialize(own.join(crowded, "node").select(F.explode(_key_pairs()).alias("key"), "node", F.col("n_words").alias("n")).distinct(), "keys")
-    dealt = _buckets(again)
-    small = shared.where(F.col("size") <= SMALL).unionByName(dealt.where(F.col("size") <= SMALL))
-    large = dealt.where(F.col("size") > SMALL).select("key", "node", "n")
-    # large buckets: rounds of heads
+    small, large = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL).select("key", "node", "n")
+    # large buckets: one head meets all, then what lies in different components
     heads = large.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"))
     star = large.join(heads, "key").select(F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
     tried = materialize(_close(_all_pairs(small).unionByName(star)), "pairs")
     body = word_bodies(tried.select(F.col("a").alias("node")).union(tried.select("b")).union(large.select("node")), docs)
     labels = materialize(components(verified(tried, body)), "labels")
-    done = heads.select("key", F.col("h.node").alias("node"))
-    rest, width = large, 1
-    while True:
-        rest = materialize(_unsettled(rest, done, labels), "rest")
-        if rest.isEmpty():
-            break
-        width *= SMALL
-        ranked = rest.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-        heads = ranked.where(F.col("r") <= width).select("key", F.col("node").alias("head"), F.col("n").alias("hn"))
-        done = materialize(done.unionByName(heads.select("key", F.col("head").alias("node"))), "heads")
-        # a head meets every member of its bucket, also those of other heads' components
-        more = large.join(heads, "key").select(F.col("head").alias("a"), F.col("hn").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-        fresh = materialize(_close(more).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = materialize(tried.union(fresh), "pairs")
+    prints = own.select("node", "tables", "bag")
+    most = SMALL
+    while not large.isEmpty():
+        across = _across(large, labels, prints, most)
+        fresh = materialize(_close(across.where(F.col("r") < most)).join(tried, ["a", "b"], "left_anti"), "pairs")
         if not fresh.isEmpty():
+            tried = materialize(tried.union(fresh), "pairs")
             labels = with_links(labels, verified(fresh, body))
+        if across.where(F.col("r") == most).isEmpty():
+            break
+        most *= SMALL
     named = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     found = sketches.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return found.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
