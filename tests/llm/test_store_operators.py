@@ -295,6 +295,16 @@ def test_outlier_of_a_crowded_group(spark):
     assert [got[100 * g + 99] for g in range(8)] == [100 * g for g in range(8)]
 
 
+def test_link_of_two_members_that_are_no_heads(spark):
+    """Two groups hang together by one pair alone, whose buckets are all large."""
+    rng, q = random.Random(7), range(80, 115)
+    x = [f"w{i}" for i in range(200)]
+    y = [f"q{i}" if i in q else w for i, w in enumerate(x)]
+    rows = [(k, edited(rng, x, 6, q)) for k in range(220)] + [(300 + k, edited(rng, y, 6, q)) for k in range(220)] + [(900, x), (901, y)]
+    assert set(near_classes(spark, rows).values()) == {0}
+    assert len(set(near_classes(spark, rows[:-1]).values())) == 2
+
+
 def test_near_duplicates_on_documents(documents, document_rows):
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(documents).collect()}
     rows = [r for r in document_rows if len((r[1] or "").split()) < 800]
