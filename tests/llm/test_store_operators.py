@@ -295,6 +295,17 @@ def test_outlier_of_a_crowded_group(spark):
     assert [got[100 * g + 99] for g in range(8)] == [100 * g for g in range(8)]
 
 
+def test_pairs_at_the_threshold(spark):
+    """Scattered edits at a word edit similarity of 0.8, also of short documents."""
+    rng, rows = random.Random(8), []
+    for p in range(60):
+        n = (5, 10, 25, 40, 100, 200)[p % 6]
+        base = [f"p{p}w{i}" for i in range(n)]
+        rows += [(2 * p, base), (2 * p + 1, edited(rng, base, n // 5))]
+    got = near_classes(spark, rows)
+    assert [p for p in range(60) if got[2 * p + 1] != 2 * p] == []
+
+
 def test_link_of_two_members_that_are_no_heads(spark):
     """Two groups hang together by one pair alone, whose buckets are all large."""
     rng, q = random.Random(7), range(80, 115)

@@ -1,11 +1,13 @@
 """Near-duplicate detection by Order MinHash with banded alignment.
 
-A document's K-word sequences are labelled with their occurrence number. For
-each of TABLES hash orders the SAMPLE smallest labelled sequences are taken and
-put back into text order; the ordered tuple is a bucket key, so that documents
+A document's SHINGLE-word sequences are labelled with their occurrence number.
+For each of TABLES hash orders the SAMPLE smallest labelled sequences are taken
+and put back into text order; the ordered tuple is a bucket key, so that documents
 meet if they share sequences in the same order (sensitive to edit similarity,
-not only to common content). Candidates are confirmed by a banded alignment of
-their words: a link needs 1 - edits / longer length >= SIMILARITY.
+not only to common content). Short documents also meet by all pairs of neighbouring
+words: within SIMILARITY two of at most SHORT words always have one in common.
+Candidates are confirmed by a banded alignment of their words: a link needs
+1 - edits / longer length >= SIMILARITY.
 
 Documents with equal words are one class from the start and only the class's
 smallest id is sketched and compared. In buckets of at most SMALL members all
@@ -19,8 +21,10 @@ are aligned first, SMALL times as many a round while any are left. So thousands
 near copies cost one alignment each, and the components are those of all links
 between documents that share a key.
 
-At a Jaccard similarity J of the labelled sequences a pair meets in a table with
-probability of about J ** SAMPLE: 1 - 1e-9 at 0.8, 0.999 at 0.6 over 32 tables.
+Of n words a share s of which is unedited, about s ** SHINGLE of the sequences
+survive scattered edits, a Jaccard similarity J = s ** 3 / (2 - s ** 3), and a pair
+meets in a table with probability of about J ** SAMPLE: over 64 tables 0.9997 at an
+edit similarity of 0.8, over 1 - 1e-6 at 0.85 (README: measured shares).
 
 Edge cases: documents without words are classes of their own; those of fewer
 than K words only match equal ones; rows with one id are one document; a null id
@@ -41,9 +45,13 @@ from pyspark.sql.window import Window
 from .common import Powers, materialize, mix64, range_hashes, slices, text_buffer, window_starts, words
 from .components import components, with_links
 
+#: Fewest words of a document that is compared, and words of a sketched sequence.
 K = 5
-SAMPLE = 3
-TABLES = 32
+SHINGLE = 3
+SAMPLE = 2
+TABLES = 64
+#: Documents of at most so many words also meet by each pair of neighbouring words.
+SHORT = 40
 SIMILARITY = 0.8
 SMALL = 16
 #: Members of a block of a large bucket; bins of a document's bag of words.
@@ -54,6 +62,7 @@ MOST_VALUES = 1 << 21
 
 _SHINGLE = Powers(0xE7037ED1A0B428DB)
 _SEEDS = mix64(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_PAIR = np.uint64(0xD6E8FEB86659FD93)
 _ODD = mix64(_SEEDS) | np.uint64(1)
 
 
@@ -78,7 +87,10 @@ def order_keys(shingles: np.ndarray) -> np.ndarray:
         seeds, odd = _SEEDS[t : t + step, None], _ODD[t : t + step, None]
         mixed = (labels[None, :] ^ seeds) * odd
         mixed ^= mixed >> np.uint64(32)
-        at = np.argpartition(mixed, take - 1, axis=1)[:, :take] if take < len(labels) else np.tile(np.arange(take), (len(seeds), 1))
+        at, every = np.empty((len(seeds), take), np.int64), np.arange(len(seeds))
+        for k in range(take):
+            at[:, k] = mixed.argmin(axis=1)
+            mixed[every, at[:, k]] = np.uint64(0xFFFFFFFFFFFFFFFF)
         chosen = shingles[np.sort(at, axis=1)]
         key = seeds[:, 0].copy()
         for k in range(take):
@@ -87,20 +99,29 @@ def order_keys(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(keys).view(np.int64)
 
 
+def short_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for every two neighbouring words of a short document."""
+    if not K <= len(hashes) <= SHORT:
+        return np.zeros(0, np.int64)
+    at = np.arange(len(hashes) - 1)
+    return np.unique(mix64(range_hashes(hashes, at, at + 2, _SHINGLE) ^ _PAIR).view(np.int64))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             data, offsets = text_buffer(part.column("text"))
             hashes, first = words(data, offsets)
-            at, counts = window_starts(first, K)
-            shingles = range_hashes(hashes, at, at + K, _SHINGLE)
+            at, counts = window_starts(first, SHINGLE)
+            shingles = range_hashes(hashes, at, at + SHINGLE, _SHINGLE)
             stops = np.cumsum(counts)
             digests, keys, tables, bags = [], [], [], []
             for i in range(part.num_rows):
                 own = hashes[first[i] : first[i + 1]]
                 digests.append(hashlib.sha256(b" ".join(data[offsets[i] : offsets[i + 1]].tobytes().split())).digest()[:16] if len(own) else None)
-                keys.append(order_keys(shingles[stops[i] - counts[i] : stops[i]]))
-                tables.append(keys[-1].tobytes())
+                found = order_keys(shingles[stops[i] - counts[i] : stops[i]] if len(own) >= K else shingles[:0])
+                tables.append(found.tobytes())
+                keys.append(np.concatenate([found, short_keys(own)]))
                 bags.append(np.minimum(np.bincount(own.view(np.int64) & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_pydict(
                 {
