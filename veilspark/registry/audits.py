@@ -131,8 +131,8 @@ cells AS (SELECT leak, m, grid.seed, count(*) AS n, sum(CASE WHEN (CAST('0x' ||
 s AS (SELECT leak, m, avg(correct * 1.0 / n) AS accuracy, avg(CASE WHEN correct * 1.0 / n > 0.5 + 0.85 / sqrt(n) THEN 1.0 ELSE 0.0 END) AS rate FROM cells GROUP BY leak, m)
 SELECT leak, m, round(accuracy, 6) AS accuracy, round(rate, 6) AS detection_rate, min(CASE WHEN rate > 0.5 THEN m END) OVER (PARTITION BY leak) AS floor_m FROM s""")
 def detection_floor(spark, sf_dir):
-    """Canaries (the first m rows of each seed's order) guessed with a success of
-    (1 + leak) / 2; a cell fires above a normal bound; the floor is the smallest
+    """A simulation of the counting, without plant, release or audit (the sweep itself is
+    operators.floor.detection_sweep): the first m rows of each seed's order are guessed with a success of (1 + leak) / 2; a cell fires above a normal bound; the floor is the smallest
     m whose detection rate over seeds exceeds one half."""
     from ..plans.ranking import smallest
 
