@@ -4,9 +4,9 @@ Documents are dealt in ascending id order (nulls first, equal ids by text),
 encoded, and packed into shards of about SHARD_TOKENS ids; a document is never
 split. A shard is one compressed binary file, stored as one row of the shard
 table so that Spark's own commit protocol covers it on any file system: a header
-(document ids and lengths), then one bit-plane per bit of the largest id, each
-with a rank directory. On the file alone a WaveletMatrix answers access, rank,
-select (occurrence lookup) and count.
+(document ids and lengths), then one compressed bit-plane per bit of the largest id.
+A WaveletMatrix read from the file alone answers access, rank, select (occurrence
+lookup) and count; reading inflates every plane and counts the rank directories anew.
 
 Edge cases: a null or empty text is its end id alone; a null id is stored as
 such; an empty table makes no shard.
