@@ -5,7 +5,7 @@ Training counts every n-gram of every labelled text, as one matrix per
 partition, merged block by block in Spark. The log-probability matrix is small
 and of fixed size (languages x BUCKETS floats) and is broadcast; texts are
 scored in batches by gathering the rows of their n-grams and adding them up per
-text. A prediction sees the text only.
+text. A prediction sees the text only; all languages have the same prior.
 
 Edge cases: a null text or one without a letter is `und` with score 0; without
 labelled rows everything is `und`; ties go to the first language in order.
