@@ -7,9 +7,10 @@ compares as smaller than another id and never joins to one.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ def scratch_root(spark: SparkSession) -> str:
     one is set only where none is configured, as in local tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -72,6 +75,30 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = stop
 
 
+def by_distinct(chunks: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all chunks in order, number of values per chunk), where encode
+    gives the same for the different chunks, each of which it sees once."""
+    coded = chunks.dictionary_encode()
+    values, sizes = encode(coded.dictionary)
+    rows = coded.indices.to_numpy()
+    n = sizes[rows]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    shift = ((np.cumsum(sizes) - sizes)[rows] - (ends - n)).astype(kind)
+    return values[np.repeat(shift, n) + np.arange(total, dtype=kind)], n
+
+
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches; at the end of the task its freed memory goes back to the system,
+    since workers live on for other stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its texts."""
     column = pc.fill_null(column, "").cast(pa.large_string())
