@@ -1,11 +1,13 @@
 """SentencePiece (BPE) encoding by suffix-array matching, and decoding.
 
-The different chunks of a batch (a run of word marks and what follows up to the
-next mark; no piece reaches over that border) are concatenated and indexed by a
-suffix array over their first MAX_PIECE characters. Every piece is looked up in
-it by binary search, all pieces at once, which gives its occurrence ranges and
-so the edges (start, end, piece) of the segmentation lattice. The edges are
-sorted by end position within their chunk and relaxed in that order.
+The texts of a batch fall into chunks (a run of word marks and what follows up to
+the next mark; no piece reaches over that border). The batch's different chunks are
+concatenated and indexed by a suffix array over their first MAX_PIECE characters,
+which stand packed in 64-bit keys, so that sorting and searching compare words.
+Every piece is looked up in it by binary search, all pieces at once, which gives its
+occurrence ranges and so the edges (start, end, piece) of the segmentation lattice.
+The edges are sorted by end position within their chunk and relaxed in that order.
+Nothing is kept from one batch to the next.
 
 Relaxing follows merge order, not summed scores: in byte-pair encoding a prefix
 has exactly one encoding, and a piece may follow the last piece of the encoding
@@ -18,7 +20,8 @@ mark in front; blanks become word marks. A word mark in the text itself reads
 as a blank, so it decodes to a blank (as with the public library).
 
 Edge cases: a null text has null ids and decodes to null; an empty text has no
-ids.
+ids; a very long text is a batch of its own; repeated rows, null ids and other
+columns pass unchanged; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,17 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from .common import slices
-from .piece_cache import ChunkCache
+from .common import by_distinct, given_back, slices
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Code points in one suffix array; a longer chunk has one of its own.
-INDEX_CHARS = 1 << 20
+INDEX_CHARS = 1 << 19
+#: Bytes of text whose different chunks are encoded together.
+SLICE_BYTES = 16 << 20
+_BORDER = 0x110000
 _START, _NONE, _UNKNOWN = -1, -2, -3
 _MODELS: dict[str, PieceModel] = {}
 
@@ -157,12 +163,12 @@ class PieceModel:
         joined = "\0".join(chunks) + "\0"
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         begins = np.cumsum(lengths + 1) - lengths - 1
-        codes[begins + lengths] = 0x110000  # border: sorts after every character
+        codes[begins + lengths] = _BORDER  # sorts after every character
         starts, ends, symbols = edges(codes, self)
         owner = np.repeat(np.arange(len(chunks)), lengths + 1)
         covered = np.zeros(len(codes) + 1, bool)  # characters that are no symbol
         covered[starts[ends - starts == 1]] = True
-        odd = np.flatnonzero(~covered[:-1] & (codes != 0x110000))
+        odd = np.flatnonzero(~covered[:-1] & (codes != _BORDER))
         starts, ends = np.concatenate([starts, odd]), np.concatenate([ends, odd + 1])
         symbols = np.concatenate([symbols, np.full(len(odd), _UNKNOWN, np.int32)])
         where = ends - begins[owner[starts]]
@@ -219,63 +225,95 @@ class PieceModel:
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions ordered by their first `depth` symbols, by prefix doubling."""
-    rank = np.unique(codes, return_inverse=True)[1] + 1
-    width = 1
-    while width < depth:
-        ahead = np.zeros_like(rank)
-        ahead[:-width] = rank[width:]
-        rank = np.unique(rank * (len(codes) + 2) + ahead, return_inverse=True)[1] + 1
-        width *= 2
-    return np.argsort(rank, kind="stable")
+def packed_keys(dense: np.ndarray, depth: int, bits: int) -> list[np.ndarray]:
+    """The first depth symbols of every suffix, 64 // bits of them in a key; the
+    rows of a matrix are texts of their own, a single row is all suffixes of one."""
+    per = 64 // bits
+    wide = dense if dense.ndim == 2 else None
+    n, keys = len(dense), []
+    if wide is None:
+        dense = np.concatenate([dense, np.zeros(depth + per, dense.dtype)])
+    for at in range(0, depth, per):
+        key = np.zeros(n, np.uint64)
+        for k in range(at, at + per):
+            key <<= np.uint64(bits)
+            if wide is None:
+                key |= dense[k : k + n].astype(np.uint64)
+            elif k < depth:
+                key |= wide[:, k].astype(np.uint64)
+        keys.append(key)
+    return keys
+
+
+def suffix_array(keys: list[np.ndarray]) -> np.ndarray:
+    """Positions in the order of their packed symbols."""
+    return np.lexsort(keys[::-1]).astype(np.int32)
+
+
+def _bound(ordered: np.ndarray, low: np.ndarray, high: np.ndarray, want: np.ndarray, after: bool) -> np.ndarray:
+    """First rank in [low, high) whose key is not below want, or is above it."""
+    low, high = low.copy(), high.copy()
+    while (open_ := np.flatnonzero(low < high)).size:
+        mid = (low[open_] + high[open_]) // 2
+        right = ordered[mid] <= want[open_] if after else ordered[mid] < want[open_]
+        low[open_[right]] = mid[right] + 1
+        high[open_[~right]] = mid[~right]
+    return low
 
 
 def edges(codes: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, symbol) of every occurrence of every piece."""
-    order = suffix_array(codes, model.longest)
-    padded = np.concatenate([codes, np.full(model.longest, -1, np.int64)])
-    lo = np.zeros(len(model.piece_ids), np.int64)
-    hi = np.full(len(model.piece_ids), len(codes), np.int64)
-
-    def first(low, high, want, depth, above: bool):
-        """First rank in [low, high) whose symbol at depth is not below (or is above) want."""
-        low, high = low.copy(), high.copy()
-        while (open_ := np.flatnonzero(low < high)).size:
-            mid = (low[open_] + high[open_]) // 2
-            seen = padded[order[mid] + depth]
-            right = seen <= want[open_] if above else seen < want[open_]
-            low[open_[right]] = mid[right] + 1
-            high[open_[~right]] = mid[~right]
-        return low
-
-    for depth in range(model.longest):
-        live = np.flatnonzero((model.piece_sizes > depth) & (lo < hi))
+    seen = np.zeros(_BORDER + 1, bool)
+    seen[codes] = True
+    symbol_of = np.where(seen, np.cumsum(seen), 0)  # 0: does not occur
+    bits = 8 if symbol_of[-1] < 256 and seen.sum() < 256 else 16 if seen.sum() < 65536 else 32
+    per = 64 // bits
+    keys = packed_keys(symbol_of[codes], model.longest, bits)
+    order = suffix_array(keys)
+    inside = np.arange(model.longest)[None, :] < model.piece_sizes[:, None]
+    wanted = np.where(inside, symbol_of[model.piece_codes], 0)
+    live = np.flatnonzero((wanted > 0).sum(1) == model.piece_sizes)
+    floors = packed_keys(wanted, model.longest, bits)
+    lo, hi = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+    hi[live] = len(codes)
+    for k, (key, floor) in enumerate(zip(keys, floors, strict=True)):
+        live = live[(model.piece_sizes[live] > k * per) & (lo[live] < hi[live])]
         if len(live) == 0:
             break
-        want = model.piece_codes[live, depth]
-        below, above = first(lo[live], hi[live], want, depth, False), first(lo[live], hi[live], want, depth, True)
-        lo[live], hi[live] = below, above
+        ordered, low = key[order], floor[live]
+        rest = np.clip((k + 1) * per - model.piece_sizes[live], 0, per).astype(np.uint64) * np.uint64(bits)
+        top = low | ((np.uint64(1) << rest) - np.uint64(1))
+        if k == 0:
+            lo[live], hi[live] = np.searchsorted(ordered, low, "left"), np.searchsorted(ordered, top, "right")
+        else:
+            lo[live], hi[live] = _bound(ordered, lo[live], hi[live], low, False), _bound(ordered, lo[live], hi[live], top, True)
     n = np.maximum(hi - lo, 0)
-    total = int(n.sum())
-    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
-    starts = order[at]
-    return starts, starts + np.repeat(model.piece_sizes, n), np.repeat(model.piece_ids, n)
+    starts = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    return starts, starts + np.repeat(model.piece_sizes.astype(np.int32), n), np.repeat(model.piece_ids, n)
 
 
-def model_of(path: str) -> tuple[PieceModel, ChunkCache]:
+def model_of(path: str) -> PieceModel:
     if path not in _MODELS:
-        model = PieceModel(path)
-        _MODELS[path] = (model, ChunkCache(model.encode_chunks))
+        _MODELS[path] = PieceModel(path)
     return _MODELS[path]
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
-    split = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
-    ids, sizes = model_of(path)[1].lookup(pa.array([c for s in split for c in s], pa.large_string()))
-    ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-    return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+def encode_texts(texts: pa.Array | list[str | None], path: str) -> list[np.ndarray]:
+    """Ids of whole texts. Where blanks stand alone the chunks are the words with a
+    mark in front; other texts are cut by the pattern CHUNK."""
+    model = model_of(path)
+    column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+    odd = pc.match_substring_regex(column, f"^$|^ | $|  |{MARK}").to_numpy(zero_copy_only=False)
+    plain = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+    cut = pa.array([CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in column.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string()))
+    out: list = [None] * len(column)
+    for rows, chunks, mark in ((np.flatnonzero(~odd), plain, MARK), (np.flatnonzero(odd), cut, "")):
+        ids, sizes = by_distinct(pc.list_flatten(chunks), lambda some, mark=mark: model.encode_chunks([mark + c for c in some.to_pylist()]))
+        counts = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        for i, a, b in zip(rows.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[i] = ids[a:b]
+    return out
 
 
 def encode(docs: DataFrame, model: str | None = None, decoded: bool = False) -> DataFrame:
@@ -287,17 +325,17 @@ def encode(docs: DataFrame, model: str | None = None, decoded: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                ids = [None if t is None else i for t, i in zip(texts, encode_texts(texts, model), strict=True)]
+            for part in slices(batch, "text", SLICE_BYTES):
+                known = part.column("text").is_valid().to_pylist()
+                ids = [i if k else None for k, i in zip(known, encode_texts(part.column("text"), model), strict=True)]
                 out = [pa.array(ids, pa.list_(pa.int32()))]
                 if decoded:
-                    own = model_of(model)[0]
+                    own = model_of(model)
                     out.append(pa.array([None if i is None else own.decode(i) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *out], [*names, *new])
 
     schema = StructType([docs.schema[c] for c in names]).add("piece_ids", ArrayType(IntegerType()))
-    return docs.mapInArrow(run, schema.add("decoded", StringType()) if decoded else schema)
+    return docs.mapInArrow(lambda it: given_back(run(it)), schema.add("decoded", StringType()) if decoded else schema)
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
@@ -309,7 +347,7 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [model_of(model)[0].decode(x.values.to_numpy()) if x.is_valid else None for x in part.column("piece_ids")]
+                texts = [model_of(model).decode(x.values.to_numpy()) if x.is_valid else None for x in part.column("piece_ids")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string())], [*names, "decoded"])
 
     return rows.mapInArrow(run, StructType([rows.schema[c] for c in names]).add("decoded", StringType()))
