@@ -103,11 +103,13 @@ def test_warc_of_no_pages(spark):
 # tokens
 
 
-def test_wavelet_matrix_queries():
+def test_wavelet_matrix_queries(monkeypatch):
+    monkeypatch.setattr(token_store, "BLOCK_BITS", 512)
+    monkeypatch.setattr(token_store, "KEPT_BLOCKS", 5)
     rng = np.random.default_rng(1)
     for top in (2, 3, 900, 70_000):
         ids = rng.integers(0, top, 3000)
-        m = token_store.WaveletMatrix.from_bytes(token_store.WaveletMatrix.build(ids, ([1, None], [1000, 2000])).to_bytes())
+        m = token_store.WaveletMatrix(token_store.WaveletMatrix.build(ids, ([1, None], [1000, 2000])))
         assert (m.decode() == ids).all() and m.docs[0] == [1, None] and list(m.docs[1]) == [1000, 2000]
         for i in rng.integers(0, 3000, 40):
             assert m.access(int(i)) == ids[i]
@@ -115,7 +117,7 @@ def test_wavelet_matrix_queries():
             where = np.flatnonzero(ids == s)
             assert m.count(s) == len(where) and m.rank(s, 1234) == (ids[:1234] == s).sum()
             assert m.occurrences(s)[:20] == list(where[:20]) if len(where) < 60 else m.select(s, 7) == where[7]
-    empty = token_store.WaveletMatrix.from_bytes(token_store.WaveletMatrix.build(np.zeros(0, np.int64)).to_bytes())
+    empty = token_store.WaveletMatrix(token_store.WaveletMatrix.build(np.zeros(0, np.int64)))
     assert len(empty.decode()) == 0 and empty.count(3) == 0
 
 
@@ -124,7 +126,7 @@ def test_chunked_encoding_equals_whole_texts(document_rows):
 
     tokenizer = Tokenizer.from_file(token_store.default_tokenizer())
     rng = random.Random(2)
-    parts = ["the", "ing", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\u2028", "\xa0", "é", "e\u0301", "\u0301", "Σ", "ΟΔΟΣ", "İ", "'s", "'LL", "12", "<|endoftext|>", "<|start", "oftext|>", "日本", "\U0001f600", "#$%"]
+    parts = ["the", "ing", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\u2028", "\xa0", "é", "e\u0301", "\u0301", "Σ", "ΟΔΟΣ", "İ", "'s", "'LL", "12", "<|endoftext|>", "<|start", "oftext|>", "<|ENDOFTEXT|>", ". ", ", ", "end. The ", "a., b ", "é, ", "日本", "\U0001f600", "#$%"]
     texts = [t for _, t in document_rows] + ["", None] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
     for text, ids in zip(texts, token_store.encode_texts(pa.array(texts, pa.string()), token_store.default_tokenizer()), strict=True):
         assert tokenizer.encode(text or "", add_special_tokens=False).ids == ids.tolist(), repr(text)
@@ -151,18 +153,11 @@ def test_token_edges(odd_documents, no_documents):
     assert token_store.token_digest(no_documents).count() == 0
 
 
-def test_cache_overflow_keeps_results(monkeypatch, document_rows):
-    from veilspark.llm import piece_cache
-
-    monkeypatch.setattr(piece_cache, "KEPT_CHUNKS", 50)
-    path = piece_codec.default_model()
-    texts = [t for _, t in document_rows[:60]]
-    small = piece_cache.ChunkCache(piece_codec.model_of(path)[0].encode_chunks)
-    for _ in range(2):
-        for t in texts:
-            chunks = piece_codec.CHUNK.findall(piece_codec.MARK + t.replace(" ", piece_codec.MARK)) if t else []
-            assert small.lookup(pa.array(chunks, pa.string()))[0].tolist() == piece_codec.encode_texts([t], path)[0].tolist()
-    assert len(small.index) <= 50
+def test_a_lookup_inflates_few_blocks():
+    ids = np.random.default_rng(3).integers(0, 40_000, 400_000)
+    m = token_store.WaveletMatrix(token_store.WaveletMatrix.build(ids, ([1], [400_000])))
+    assert m.access(123_456) == ids[123_456] and len(m._kept) <= m.bits < m.ranks.size
+    assert m.rank(int(ids[5]), 300_000) == (ids[:300_000] == ids[5]).sum()
 
 
 # pieces
@@ -176,14 +171,14 @@ def test_pieces_equal_the_library(document_rows):
     parts = ["a", "the", "ing", " ", "  ", "\n", "1", "0", "=", "//", "é", "日", "▁", "\u0301", "\x00", "\U0001f600", "    ", "ŧ", "zz"]
     texts = [t for _, t in document_rows] + ["", " ", " " * 70, "q" * 3000] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(2000)]
     found = piece_codec.encode_texts(texts, piece_codec.default_model())
-    model = piece_codec.model_of(piece_codec.default_model())[0]
+    model = piece_codec.model_of(piece_codec.default_model())
     for text, ids in zip(texts, found, strict=True):
         assert library.encode(text or "") == ids.tolist(), repr(text)
         assert model.decode(ids) == (text or "").replace("▁", " ")
 
 
 def test_suffix_array_finds_every_occurrence():
-    model = piece_codec.model_of(piece_codec.default_model())[0]
+    model = piece_codec.model_of(piece_codec.default_model())
     text = "▁the▁thing▁then▁een▁een"
     starts, ends, symbols = piece_codec.edges(np.array([ord(c) for c in text]), model)
     found = sorted((int(s), int(e)) for s, e in zip(starts, ends, strict=True))
@@ -295,15 +290,61 @@ def test_outlier_of_a_crowded_group(spark):
     assert [got[100 * g + 99] for g in range(8)] == [100 * g for g in range(8)]
 
 
-def test_pairs_at_the_threshold(spark):
-    """Scattered edits at a word edit similarity of 0.8, also of short documents."""
-    rng, rows = random.Random(8), []
-    for p in range(60):
-        n = (5, 10, 25, 40, 100, 200)[p % 6]
+def test_recall_of_scattered_edits(spark):
+    """Share of pairs found at word edit similarities of 0.8 to 0.95."""
+    rng, rows, kinds = random.Random(8), [], {}
+    for p in range(1200):
+        n, share = (5, 10, 25, 60, 120, 150, 200, 250, 400, 600)[p % 10], (0.2, 0.15, 0.1, 0.05)[p // 10 % 4]
         base = [f"p{p}w{i}" for i in range(n)]
-        rows += [(2 * p, base), (2 * p + 1, edited(rng, base, n // 5))]
+        rows += [(2 * p, base), (2 * p + 1, edited(rng, base, int(n * share + 1e-9)))]
+        kinds.setdefault((share, n <= 120), []).append(p)
     got = near_classes(spark, rows)
-    assert [p for p in range(60) if got[2 * p + 1] != 2 * p] == []
+    found = {k: sum(got[2 * p + 1] == 2 * p for p in ps) / len(ps) for k, ps in kinds.items()}
+    assert all(found[share, True] == 1 for share in (0.2, 0.15, 0.1, 0.05)), found
+    assert found[0.2, False] >= 0.9 and found[0.15, False] >= 0.97 and found[0.1, False] == found[0.05, False] == 1, found
+
+
+def test_short_documents_share_a_run():
+    """The claim behind run_keys: of documents of at most SHORT words."""
+    for m in range(order_minhash.K, order_minhash.SHORT + 1):
+        edits = order_minhash.allowed_edits(m)
+        size = 2 if m == 5 else 3 if m <= 15 else 4
+        assert -(-(m - edits) // (edits + 1)) >= size
+        for n in range(max(order_minhash.K, m - edits), m + 1):
+            a, b = (set(order_minhash.run_keys(np.arange(x, dtype=np.uint64)).tolist()) for x in (n, m))
+            assert len(a & b) >= n - size + 1
+
+
+def test_prefixes_of_similar_documents_meet():
+    """The claim behind prefix_size, for random edits and any order of word pairs."""
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(5, 90))
+        x = rng.integers(0, max(3, n // 2), n).astype(np.uint64)
+        y = x.tolist()
+        for _ in range(order_minhash.allowed_edits(n)):
+            k, at = rng.integers(0, 3), int(rng.integers(0, len(y)))
+            if k == 0:
+                y[at] = 10**6
+            elif k == 1:
+                y.insert(at, 10**6)
+            else:
+                del y[at]
+        y = np.array(y, np.uint64)
+        if order_minhash.allowed_edits(max(n, len(y))) < order_minhash.allowed_edits(n) or len(y) < order_minhash.K:
+            continue
+        for size in (1, 2):
+            a, b = (np.sort(order_minhash.labelled(v, size))[: order_minhash.prefix_size(len(v), size)] for v in (x, y))
+            assert np.isin(a, b).any()
+
+
+def test_rows_of_one_id(spark):
+    """Rows of one id with unlike texts are documents of their own; equal rows are one."""
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    df = spark.createDataFrame([(1, a), (1, b), (1, b), (2, b + " c"), (3, a + " c"), (0, "x y")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in order_minhash.near_duplicates(df).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+    assert sorted((r["doc_id"], r["text"][0]) for r in order_minhash.near_dedup(df).collect()) == [(0, "x"), (1, "a"), (1, "b")]
 
 
 def test_link_of_two_members_that_are_no_heads(spark):

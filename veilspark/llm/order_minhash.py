@@ -4,31 +4,37 @@ A document's SHINGLE-word sequences are labelled with their occurrence number.
 For each of TABLES hash orders the SAMPLE smallest labelled sequences are taken
 and put back into text order; the ordered tuple is a bucket key, so that documents
 meet if they share sequences in the same order (sensitive to edit similarity,
-not only to common content). Short documents also meet by all pairs of neighbouring
-words: within SIMILARITY two of at most SHORT words always have one in common.
-Candidates are confirmed by a banded alignment of their words: a link needs
-1 - edits / longer length >= SIMILARITY.
-
-Documents with equal words are one class from the start and only the class's
-smallest id is sketched and compared. In buckets of at most SMALL members all
-pairs are compared. In a larger one its smallest id, the head, meets every
-member; then all pairs of members in different components are compared, in
-salted blocks: the members outside of the bucket's largest component against all.
-Lengths and bags of words (half the summed difference of 256 counts, a lower
-bound of the edits) rule out most of those pairs exactly, a pair is looked at in
-the first table it shares only, and of one member's pairs with one component SMALL
-are aligned first, SMALL times as many a round while any are left. So thousands of
-near copies cost one alignment each, and the components are those of all links
-between documents that share a key.
-
-Of n words a share s of which is unedited, about s ** SHINGLE of the sequences
-survive scattered edits, a Jaccard similarity J = s ** 3 / (2 - s ** 3), and a pair
-meets in a table with probability of about J ** SAMPLE: over 64 tables 0.9997 at an
-edit similarity of 0.8, over 1 - 1e-6 at 0.85 (README: measured shares).
-
-Edge cases: documents without words are classes of their own; those of fewer
-than K words only match equal ones; rows with one id are one document; a null id
-has a null class.
+not only to common content). Candidates are confirmed by a banded alignment of
+their words: a link needs 1 - edits / longer length >= SIMILARITY.
+
+Of n words a share s of which is unedited, about s ** 5 of the sequences survive
+scattered edits, a Jaccard similarity J = s ** 5 / (2 - s ** 5), and a pair meets in
+a table with probability of about J ** SAMPLE: over 80 tables 0.95 at an edit
+similarity of 0.8, 0.998 at 0.85, over 0.9999 at 0.9 (README: measured shares). Two
+documents of at most SHORT words always meet: within SIMILARITY they share a run of
+unedited words (of 2 words for 5, 3 for up to 15, else 4), and all their runs are keys.
+
+Documents with equal words are one class from the start; only its smallest id is
+sketched and compared. Each member of a bucket is aligned with the bucket's smallest
+id, its head. After that only pairs of members in different components are left:
+* in buckets of at most SMALL members all of them are aligned;
+* members of larger buckets go through an exact similarity join. Two texts within
+  SIMILARITY share so many of their neighbouring word pairs, and of their words, that
+  one of the rarest pairs and one of the rarest words of each (its prefixes) must be
+  in common; a passage that many documents share is not rare, so it brings nothing
+  together. Where at most SMALL members share a rare pair they meet; those of larger
+  buckets meet where they share a rare word, and if many do, in salted blocks. Lengths and
+  bags of words rule out most pairs exactly, and of one member's pairs with one
+  component SMALL are aligned first, SMALL times as many a round while any are left.
+So thousands of near copies cost one alignment each, a frequent passage costs its
+documents' prefixes, and no pair that shares a bucket is left out.
+
+Edge cases: documents without words are classes of their own; those of fewer than K
+words only match equal ones; a null text has no words; a null id has a null class.
+Rows with one id and different texts are documents of their own, rows with equal id
+and text are one. A very long text is sketched MOST_VALUES values at a time. Ties go
+to the smaller id. Only doc_id and text are read, so other columns cannot clash; an
+empty table has no classes.
 """
 
 from __future__ import annotations
@@ -37,21 +43,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Powers, materialize, mix64, range_hashes, slices, text_buffer, window_starts, words
+from .common import Powers, fresh, given_back, materialize, mix64, range_hashes, slices, text_buffer, window_starts, words
 from .components import components, with_links
 
 #: Fewest words of a document that is compared, and words of a sketched sequence.
-K = 5
-SHINGLE = 3
+K = SHINGLE = 5
 SAMPLE = 2
-TABLES = 64
-#: Documents of at most so many words also meet by each pair of neighbouring words.
-SHORT = 40
+TABLES = 80
+#: Two documents of at most so many words always meet.
+SHORT = 120
 SIMILARITY = 0.8
 SMALL = 16
 #: Members of a block of a large bucket; bins of a document's bag of words.
@@ -59,11 +64,15 @@ BLOCK = 512
 BINS = 256
 #: Values hashed at a time for one document; more tables wait for the next pass.
 MOST_VALUES = 1 << 21
+#: Bits of the filter that keeps other texts out of a shuffle (more texts: a weaker
+#: filter, equal results), and counters of the frequencies of word pairs and of words.
+FILTER_BITS, COUNTERS = 1 << 25, 1 << 20
 
-_SHINGLE = Powers(0xE7037ED1A0B428DB)
+_SHINGLE, _RUN = Powers(0xE7037ED1A0B428DB), Powers(0x8EBC6AF09C88C6E3)
 _SEEDS = mix64(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _ODD = mix64(_SEEDS) | np.uint64(1)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _occurrences(values: np.ndarray) -> np.ndarray:
@@ -99,12 +108,14 @@ def order_keys(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(keys).view(np.int64)
 
 
-def short_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for every two neighbouring words of a short document."""
-    if not K <= len(hashes) <= SHORT:
-        return np.zeros(0, np.int64)
-    at = np.arange(len(hashes) - 1)
-    return np.unique(mix64(range_hashes(hashes, at, at + 2, _SHINGLE) ^ _PAIR).view(np.int64))
+def run_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the runs of neighbouring words of a short document."""
+    n, keys = len(hashes), []
+    for size, fits in ((2, n == 5), (3, 5 <= n <= 15), (4, 13 <= n <= SHORT)):
+        if fits:
+            at = np.arange(n - size + 1)
+            keys.append(mix64(range_hashes(hashes, at, at + size, _RUN) ^ (_PAIR + np.uint64(size))).view(np.int64))
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,22 +126,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, counts = window_starts(first, SHINGLE)
             shingles = range_hashes(hashes, at, at + SHINGLE, _SHINGLE)
             stops = np.cumsum(counts)
-            digests, keys, tables, bags = [], [], [], []
+            digests, keys = [], []
             for i in range(part.num_rows):
                 own = hashes[first[i] : first[i + 1]]
                 digests.append(hashlib.sha256(b" ".join(data[offsets[i] : offsets[i + 1]].tobytes().split())).digest()[:16] if len(own) else None)
-                found = order_keys(shingles[stops[i] - counts[i] : stops[i]] if len(own) >= K else shingles[:0])
-                tables.append(found.tobytes())
-                keys.append(np.concatenate([found, short_keys(own)]))
-                bags.append(np.minimum(np.bincount(own.view(np.int64) & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes())
+                # nothing within SIMILARITY of so short a document is longer than SHORT
+                long = len(own) > SIMILARITY * SHORT
+                keys.append(np.concatenate([order_keys(shingles[stops[i] - counts[i] : stops[i]] if long else shingles[:0]), run_keys(own)]))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": part.column("doc_id"),
+                    "node": part.column("node"),
                     "digest": pa.array(digests, pa.binary()),
-                    "n_words": pa.array(np.diff(first), pa.int64()),
+                    "n": pa.array(np.diff(first), pa.int64()),
                     "keys": pa.array(keys, pa.list_(pa.int64())),
-                    "tables": pa.array(tables, pa.binary()),
-                    "bag": pa.array(bags, pa.binary()),
                 }
             )
 
@@ -192,72 +200,151 @@ def allowed_edits(longer: int) -> int:
     return int((1 - SIMILARITY) * longer + 1e-9)
 
 
-def _words32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            hashes, first = words(*text_buffer(part.column("text")))
-            small = (hashes >> np.uint64(32)).astype("<u4")
-            runs = [small[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(runs, pa.binary())], ["node", "words"])
-
-
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
-        for x, y in zip(batch.column("wa"), batch.column("wb"), strict=True):
-            one, two = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+        for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
+            numbers: dict[bytes, int] = {}
+            one, two = (np.array([numbers.setdefault(w, len(numbers)) for w in t.as_py().encode().split()], np.int64) for t in (x, y))
             most = allowed_edits(max(len(one), len(two)))
             good.append(banded_distance(one, two, most) <= most)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
 
-def word_bodies(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, words) of the given nodes: their words as 32-bit hashes."""
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"])
-    return materialize(texts.mapInArrow(_words32, "node long, words binary"), "words")
+def _probes(nodes: np.ndarray) -> list[np.ndarray]:
+    return [(mix64(nodes.view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for k in (1, 2, 3)]
 
 
-def verified(pairs: DataFrame, body: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose documents align, with only their words moved."""
-    with_b = pairs.join(body.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
-    both = with_b.join(body.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
-    checked = both.select("a", "b", "wa", "wb").mapInArrow(_align, "a long, b long, good boolean")
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = np.unique(np.concatenate(_probes(batch.column("node").to_numpy().astype(np.int64))))
+        heads = np.flatnonzero(np.diff(at >> 6, prepend=-1))
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), heads) if len(at) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(at[heads] >> 6), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+
+def some_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """docs (node, text) without most of those that are not in nodes: a Bloom filter
+    of FILTER_BITS, whatever the number of nodes, stands before the shuffle."""
+    found = nodes.select("node").mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_be(node: pd.Series) -> pd.Series:
+        ok = np.ones(len(node), bool)
+        for at in _probes(node.to_numpy(np.int64)):
+            ok &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pd.Series(ok)
+
+    return docs.where(may_be("node"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose documents align. The texts are shuffled once, by node."""
+    texts = some_texts(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    checked = both.select("a", "b", "ta", "tb").mapInArrow(lambda it: given_back(_align(it)), "a long, b long, good boolean")
     return materialize(checked.where("good").select("a", "b"), "verified")
 
 
-def _close(pairs: DataFrame) -> DataFrame:
-    """Pairs whose lengths allow a link, each once."""
-    longer = F.greatest("na", "nb")
-    fits = F.abs(F.col("na") - F.col("nb")) <= F.floor(F.lit(1 - SIMILARITY) * longer + 1e-9)
-    return pairs.where(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _fitting(na: Column, nb: Column) -> Column:
+    return F.abs(na - nb) <= F.floor(F.lit(1 - SIMILARITY) * F.greatest(na, nb) + 1e-9)
+
+
+def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose lengths allow a link, each once."""
+    each = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    by_a, by_b = (classes.select(F.col("node").alias(c), F.col("n").alias("n" + c)) for c in "ab")
+    return each.join(by_b, "b").join(by_a, "a").where(_fitting(F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _small_pairs(named: DataFrame) -> DataFrame:
+    """(a, b) of different labels in buckets of at most SMALL members."""
+    mixed = named.groupBy("key").agg(F.collect_list(F.struct("node", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    pair = F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.label <> x.label), y -> struct(x.node as a, y.node as b))))")
+    return mixed.select(F.explode(pair).alias("p")).select("p.*")
+
+
+# ------------------------------------------------------------ exact join of crowded buckets
+
+
+def labelled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Labelled hashes of a document's runs of `size` words."""
+    at = np.arange(max(0, len(hashes) - size + 1))
+    found = range_hashes(hashes, at, at + size, _RUN)
+    return mix64(found + _occurrences(found).astype(np.uint64) * _GOLDEN) if len(found) else found
+
+
+def prefix_size(n: int, size: int) -> int:
+    """Of the runs of `size` words of a document of n words, in any order common to
+    all documents, the first so many include one of every document within SIMILARITY:
+    an edit breaks `size` of them, so with m words in the longer document at least
+    m - size + 1 - size * allowed_edits(m) are shared."""
+    shared = min(m - size + 1 - size * allowed_edits(m) for m in (n, -(-n // 5) * 5))
+    return n - size + 1 - shared + 1
+
+
+def _cells(runs: np.ndarray, size: int) -> np.ndarray:
+    return (runs & np.uint64(COUNTERS - 1)).astype(np.int64) + (size - 1) * COUNTERS
+
+
+def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(2 * COUNTERS, np.int64)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            hashes, first = words(*text_buffer(part.column("text")))
+            found = [_cells(labelled(hashes[a:b], size), size) for a, b in zip(first[:-1], first[1:], strict=True) for size in (1, 2)]
+            total += np.bincount(np.concatenate(found), minlength=2 * COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "c"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            hashes, first = words(*text_buffer(part.column("text")))
+            rare, bags = ([], []), []
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                for size in (1, 2):
+                    own = labelled(hashes[a:b], size)
+                    rare[size - 1].append(own[np.lexsort((own, counts[_cells(own, size)]))[: prefix_size(int(b - a), size)]].view(np.int64))
+                bags.append(np.minimum(np.bincount(hashes[a:b].view(np.int64) & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes())
+            lists = [pa.array(r, pa.list_(pa.int64())) for r in rare]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.diff(first)), *lists, pa.array(bags, pa.binary())], ["node", "n", "words", "pairs", "bag"])
+
+
+def _apart(bags: np.ndarray, bag: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """A lower bound of the edits from bags of words and the lengths' difference."""
+    return (np.abs(bags.astype(np.int16) - bag.astype(np.int16)).sum(1, dtype=np.int64) + np.abs(gap)) // 2
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """rows (key, node, n) of the keys that several nodes share, with their number."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return materialize(rows.join(sizes, "key"), "buckets")
+def _bags(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
-def _all_pairs(small: DataFrame) -> DataFrame:
-    """(a, na, b, nb) of all pairs in buckets of at most SMALL members."""
-    pair = F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.node as a, x.n as na, y.node as b, y.n as nb))))")
-    members = small.groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("m"))
-    return members.select(F.explode(pair).alias("p")).select("p.*")
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+        allowed = np.floor((1 - SIMILARITY) * np.maximum(na, nb) + 1e-9)
+        ok = (np.abs(na - nb) <= allowed) & (_apart(_bags(batch.column("ba")), _bags(batch.column("bb")), na - nb) <= allowed)
+        yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
 def _matches(group: pa.Table) -> pa.Table:
-    """Pairs (a, na, b, nb, r) of a block of left members with a block of right
-    ones, without those that lengths or bags of words rule out, that have one
-    label, or whose first common table is another bucket's. r counts the pairs of
-    one left member with one right label, the most alike first."""
-    left = group.column("left").to_numpy(zero_copy_only=False).astype(bool)
+    """Pairs (a, b, r) of a block of left members with a block of right ones, without
+    those that lengths or bags of words rule out or that have one label. r counts the
+    pairs of one left member with one right label, the most alike first."""
+    left = group.column("left").to_numpy().astype(bool)
     node, n, label = (group.column(c).to_numpy() for c in ("node", "n", "label"))
-    tables = np.frombuffer(b"".join(group.column("tables").to_pylist()), "<i8").reshape(-1, TABLES)
-    bag = np.frombuffer(b"".join(group.column("bag").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
-    key, most = group.column("key")[0].as_py(), group.column("most")[0].as_py()
-    main = group.column("main")[0].as_py()
+    bag, main, most = _bags(group.column("bag")), group.column("main")[0].as_py(), group.column("most")[0].as_py()
     right, out = np.flatnonzero(~left), []
-    total = bag.sum(1, dtype=np.int64)
     for i in np.flatnonzero(left):
         allowed = np.floor((1 - SIMILARITY) * np.maximum(n[i], n[right]) + 1e-9)
         # two left members of a bucket meet once, from the larger id's side
@@ -265,78 +352,143 @@ def _matches(group: pa.Table) -> pa.Table:
         at, allowed = right[fits], allowed[fits]
         if len(at) == 0:
             continue
-        apart = (np.abs(bag[at] - bag[i]).sum(1, dtype=np.int64) + np.abs(total[at] - total[i])) // 2
+        apart = _apart(bag[at], bag[i], n[at] - n[i])
         at, apart = at[apart <= allowed], apart[apart <= allowed]
-        common = tables[at] == tables[i]
-        at_first = tables[i][common.argmax(1)] == key
-        own = at_first | ~common.any(1)
-        at, apart = at[own], apart[own]
-        order = np.lexsort((node[at], apart, label[at]))
-        at = at[order]
-        for j, r in zip(at.tolist(), _occurrences(label[at]).tolist() if len(at) else (), strict=True):
-            if r <= most:
-                out.append((node[i], n[i], node[j], n[j], r))
-    columns = list(zip(*out, strict=True)) or [()] * 5
-    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "na", "b", "nb", "r"), columns, strict=True)})
-
-
-def _across(large: DataFrame, labels: DataFrame, prints: DataFrame, most: int) -> DataFrame:
-    """(a, na, b, nb, r) of the pairs of different labels in each large bucket, with
-    r < most for the pairs to align and r = most where there are more. The members
+        at = at[np.lexsort((node[at], apart, label[at]))]
+        out += [(node[i], node[j], r) for j, r in zip(at.tolist(), _occurrences(label[at]).tolist() if len(at) else (), strict=True) if r <= most]
+    columns = list(zip(*out, strict=True)) or [()] * 3
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip("abr", columns, strict=True)})
+
+
+def crowded_prefixes(crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, n, words and pairs (its rarest), bag of the nodes in crowd. Frequencies are
+    counted by hash, so they order runs of words roughly; any order that is the same
+    for all documents is right."""
+    texts = materialize(some_texts(docs, crowd).join(crowd, "node", "left_semi"), "crowd")
+    counted = texts.mapInArrow(_count_runs, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(2 * COUNTERS, np.int64)
+    counts[counted["cell"].to_numpy()] = counted["c"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    schema = "node long, n long, words array<long>, pairs array<long>, bag binary"
+    return materialize(texts.mapInArrow(lambda it: given_back(_prefixes(it, shared.value)), schema), "prefixes")
+
+
+def _shared(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, node) of keys whose members have several labels, with their number."""
+    named = _named(rows, labels)
+    per = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return materialize(named.join(per.select("key", "size"), "key").select("key", "node", "size"), "rare")
+
+
+def alike(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) that bags of words do not rule out."""
+    sides = [prints.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("bag").alias("b" + c)) for c in "ab"]
+    return pairs.join(sides[1], "b").join(sides[0], "a").mapInArrow(_alike, "a long, b long")
+
+
+def across(named: DataFrame, prints: DataFrame, most: int) -> DataFrame:
+    """(a, b, r) of the pairs of different labels in each bucket (key, node, label),
+    with r < most for the pairs to align and r = most where there are more. The members
     outside of a bucket's most frequent label meet all members, in blocks of BLOCK."""
-    named = materialize(large.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     per = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
     per = per.agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("s"), F.count("*").alias("labels")).where("labels > 1")
     per = per.select("key", F.col("m.label").alias("main"), F.ceil(F.col("s") / BLOCK).alias("rb"), F.ceil((F.col("s") - F.col("m.c")) / BLOCK).alias("lb"))
-    rows = named.join(per, "key").join(prints, "node")
-    mixed = F.xxhash64("node")
-    own_l, own_r = F.pmod(mixed, "lb").cast("int"), F.pmod(mixed, "rb").cast("int")
-    kept = ["key", "main", "node", "n", "label", "tables", "bag", F.lit(most).alias("most")]
+    mixed = named.join(per, "key").join(prints, "node")
+    own_l, own_r = F.pmod(F.xxhash64("node"), "lb").cast("int"), F.pmod(F.xxhash64("node"), "rb").cast("int")
+    kept = ["key", "main", "node", "n", "label", "bag", F.lit(most).alias("most")]
     every_r, every_l = F.explode(F.expr("sequence(0, int(rb) - 1)")), F.explode(F.expr("sequence(0, int(lb) - 1)"))
-    left = rows.where("label <> main").select(*kept, F.lit(True).alias("left"), own_l.alias("l"), every_r.alias("q"))
-    both = left.unionByName(rows.select(*kept, F.lit(False).alias("left"), every_l.alias("l"), own_r.alias("q")))
-    found = both.groupBy("key", "l", "q").applyInArrow(_matches, "a long, na long, b long, nb long, r long")
-    return materialize(found, "across")
+    left = mixed.where("label <> main").select(*kept, F.lit(True).alias("left"), own_l.alias("l"), every_r.alias("q"))
+    both = left.unionByName(mixed.select(*kept, F.lit(False).alias("left"), every_l.alias("l"), own_r.alias("q")))
+    return materialize(both.groupBy("key", "l", "q").applyInArrow(_matches, "a long, b long, r long"), "across")
+
+
+# ------------------------------------------------------------ classes
+
+
+def _numbered(docs: DataFrame, node: str) -> tuple[DataFrame, bool]:
+    """The rows of docs that have an id, with a number of their text's own; True if
+    ids repeat. It is the id where that occurs once."""
+    known = docs.where("doc_id is not null")
+    again = known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("again"))
+    if again.isEmpty():
+        return known.withColumn(node, F.col("doc_id")), False
+    marked = known.join(again.withColumnRenamed("again", node), "doc_id", "left")
+    return marked.withColumn(node, F.when(F.col(node), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))), True
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """node, label for every row of docs (node, text), whose nodes are distinct."""
+    sketches = materialize(docs.mapInArrow(lambda it: given_back(_sketch(it)), "node long, digest binary, n long, keys array<long>"), "sketches")
+    worded = sketches.where("digest is not null")
+    classes = materialize(worded.groupBy("digest").agg(F.min("node").alias("node"), F.first("n").alias("n")), "classes")
+    rows = worded.groupBy("digest").agg(F.min("node").alias("node"), F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "node")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1")
+    members = materialize(rows.join(shared, "key"), "members")
+    tried = materialize(_close(members.select(F.col("head").alias("a"), F.col("node").alias("b")), classes), "pairs")
+    labels = materialize(components(verified(tried, docs)), "labels")
+
+    def linked(pairs: DataFrame) -> None:
+        nonlocal tried, labels
+        new = materialize(_close(pairs, classes).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not new.isEmpty():
+            tried = tried.union(new)
+            labels = with_links(labels, verified(new, docs))
+
+    linked(_small_pairs(_named(members.where(F.col("size") <= SMALL).select("key", "node"), labels)))
+    large = _named(members.where(F.col("size") > SMALL).select("key", "node"), labels)
+    mixed = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    crowd = materialize(large.join(mixed, "key", "left_semi").select("node").distinct(), "crowd")
+    if not crowd.isEmpty():
+        prefixes = crowded_prefixes(crowd, docs)
+        prints = prefixes.select("node", "n", "bag")
+        by_pair = _shared(prefixes.select(F.explode("pairs").alias("key"), "node"), labels)
+        dense = by_pair.where(F.col("size") > SMALL).select("node").distinct()
+        by_word = _shared(prefixes.join(dense, "node", "left_semi").select(F.explode("words").alias("key"), "node"), labels)
+        few = by_pair.where(F.col("size") <= SMALL).unionByName(by_word.where(F.col("size") <= SMALL)).select("key", "node")
+        many = by_word.where(F.col("size") > SMALL).select("key", "node")
+        linked(alike(_close(_small_pairs(_named(few, labels)), classes), prints))
+        most = SMALL
+        while not many.isEmpty():
+            found = across(_named(many, labels), prints, most)
+            linked(found.where(F.col("r") < most).select("a", "b"))
+            if found.where(F.col("r") == most).isEmpty():
+                break
+            most *= SMALL
+    named = _named(classes.select("digest", "node"), labels).select("digest", "label")
+    return sketches.select("node", "digest").join(named, "digest", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = docs.where("doc_id is not null")
-    sketches = materialize(known.mapInArrow(_sketch, "doc_id long, digest binary, n_words long, keys array<long>, tables binary, bag binary"), "sketches")
-    classes = materialize(sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    own = sketches.select(F.col("doc_id").alias("node"), "digest", "n_words", "keys", "tables", "bag").join(classes, ["node", "digest"], "left_semi")
-    rows = materialize(own.select(F.explode("keys").alias("key"), "node", F.col("n_words").alias("n")).distinct(), "keys")
-    shared = _buckets(rows)
-    small, large = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL).select("key", "node", "n")
-    # large buckets: one head meets all, then what lies in different components
-    heads = large.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"))
-    star = large.join(heads, "key").select(F.col("h.node").alias("a"), F.col("h.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    tried = materialize(_close(_all_pairs(small).unionByName(star)), "pairs")
-    body = word_bodies(tried.select(F.col("a").alias("node")).union(tried.select("b")).union(large.select("node")), docs)
-    labels = materialize(components(verified(tried, body)), "labels")
-    prints = own.select("node", "tables", "bag")
-    most = SMALL
-    while not large.isEmpty():
-        across = _across(large, labels, prints, most)
-        fresh = materialize(_close(across.where(F.col("r") < most)).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            tried = materialize(tried.union(fresh), "pairs")
-            labels = with_links(labels, verified(fresh, body))
-        if across.where(F.col("r") == most).isEmpty():
-            break
-        most *= SMALL
-    named = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
-    found = sketches.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return found.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+    rows, repeated = _numbered(docs, "node")
+    if repeated:
+        rows = materialize(rows, "rows")
+        ids = rows.select("node", "doc_id").distinct()
+        found = _classes(rows.select("node", "text").dropDuplicates(["node"])).join(ids, "node")
+        least = found.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+        classes = rows.select("doc_id", "node").join(found.select("node", "label"), "node").join(least, "label").select("doc_id", "class_id")
+    else:
+        classes = _classes(rows.select("node", "text")).select(F.col("node").alias("doc_id"), F.col("label").alias("class_id"))
+    return classes.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one document of each class, the smallest id;
+    """The rows of docs that stay: one document of each class, of the smallest id;
     rows without an id stay."""
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    stay = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    (node,) = fresh(docs, "node")
+    plain = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows, repeated = _numbered(plain, node)
+    if repeated:
+        rows = materialize(rows.dropDuplicates([node]), "rows")
+        ids = rows.select(F.col(node).alias("node"), "doc_id")
+        found = _classes(rows.select(F.col(node).alias("node"), "text")).join(ids, "node")
+        kept = found.groupBy("label").agg(F.min(F.struct("doc_id", "node"))["node"].alias(node)).select(node)
+    else:
+        found = _classes(rows.select(F.col(node).alias("node"), "text"))
+        kept = found.where("node = label").select(F.col("node").alias(node))
+    stay = rows.join(kept, node, "left_semi").drop(node)
+    return stay.unionByName(plain.where("doc_id is null")).select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def brute_force(rows: list[tuple]) -> dict:
