@@ -14,6 +14,7 @@ from ..functions import seeded
 from ..plans.marginals import MarginalPlan, level_codes, level_counts
 from ..plans.ranking import dense_index, smallest
 from ..schema import NUMERICAL, PublicSchema
+from ..sources.scratch import materialized
 from .accounting import Accountant, Charge, calibrate
 from .noise import SecureNoise
 
@@ -182,10 +183,11 @@ class Pairwise(Mechanism):
 def leaky_release(df: DataFrame, columns: list[str], share: float, key: str = "rid", salt: str = "leak") -> DataFrame:
     """A non-private control: round(n * share) rows verbatim (those of smallest
     seeded key), each other row made of values of independently drawn rows."""
+    df = materialized(df.select(key, *columns), "leak")
     n = df.count()
     kept = int(n * share + 0.5)
-    verbatim = smallest(df.select(key, *columns), seeded.key(salt, key), key, kept).where("chosen").drop("chosen").withColumn("verbatim", F.lit(True))
-    indexed = dense_index(df.select(key, *columns), seeded.key(salt + "i", key), key)
+    verbatim = smallest(df, seeded.key(salt, key), key, kept).where("chosen").drop("chosen").withColumn("verbatim", F.lit(True))
+    indexed = materialized(dense_index(df, seeded.key(salt + "i", key), key), "index")
     rest = df.sparkSession.range(kept, n).select(F.col("id").alias("slot"))
     for c in columns:
         pick = F.floor(seeded.uniform(salt + c, "slot") * n)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Fixed value: what the first entry links to.
+#: What the first entry links to, and the fields of an entry.
 GENESIS = "0" * 64
 FIELDS = "seq long, entry_id string, prev_hash string, timestamp string, dataset_id string, run_id string, mechanism_name string, sensitivity double, noise_scale double, eps_spent double, delta double, seed long, actor string, signature string, hash string"
 
@@ -39,13 +39,17 @@ class Entry:
     timestamp: str = field(default_factory=lambda: datetime.now(UTC).isoformat())
     prev_hash: str = GENESIS
 
+    def __post_init__(self) -> None:
+        if any(c < " " or c == "\x7f" for v in asdict(self).values() if isinstance(v, str) for c in v):
+            raise ValueError("an entry's texts hold no control characters")
+
     def canonical(self) -> bytes:
         """Sorted-key JSON of what the hash covers; numbers in fixed formats."""
         data = asdict(self)
         for name in ("sensitivity", "noise_scale", "eps_spent"):
             data[name] = f"{data[name]:.8f}"
         data["delta"] = f"{self.delta:.8e}"
-        return json.dumps(data, sort_keys=True).encode()
+        return json.dumps(data, sort_keys=True, ensure_ascii=False).encode()
 
     def digest(self) -> str:
         return hashlib.sha256(self.canonical()).hexdigest()
@@ -56,8 +60,7 @@ def _quoted(c: Column) -> Column:
 
 
 def canonical_column() -> Column:
-    """The canonical text of an entry as an expression over its columns (ASCII
-    values without control characters)."""
+    """The canonical text of an entry as an expression over its columns."""
     parts = {n: _quoted(F.col(n)) for n in ("actor", "dataset_id", "entry_id", "mechanism_name", "prev_hash", "run_id", "timestamp")}
     parts |= {n: _quoted(F.format_string("%.8f", F.col(n))) for n in ("eps_spent", "noise_scale", "sensitivity")}
     parts |= {"delta": _quoted(F.format_string("%.8e", F.col("delta"))), "seed": F.col("seed").cast("string")}
@@ -120,6 +123,18 @@ class BadSignature(Exception):
     pass
 
 
+def badly_signed(rows: DataFrame, public_key: str) -> list[int]:
+    """seq of the entries whose signature is missing or is not the key's over their
+    canonical text. The ledger has one writer and is short; rows stream by one by one."""
+    bad = []
+    for r in rows.select("seq", "signature", canonical_column().alias("text")).orderBy("seq").toLocalIterator():
+        try:
+            verify(rows.sparkSession, public_key, r["text"].encode(), r["signature"] or "")
+        except BadSignature:
+            bad.append(r["seq"])
+    return bad
+
+
 def _java(spark: SparkSession):
     return spark.sparkContext._jvm.java.security
 

@@ -41,6 +41,6 @@ def project(real: DataFrame, clouds: dict[str, DataFrame], columns: list[str], k
     out = {}
     for name, df in clouds.items():
         points = smallest(coordinates(df), seeded.key(f"cloud{name}", "rid"), "rid", POINTS)
-        points = points.where("chosen").drop("chosen") if df.count() > POINTS else points.drop("chosen")
+        points = points.where("chosen").drop("chosen")
         out[name] = points.select("rid", *[F.round(F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.col(c) / span)), 4).alias(c) for c in "xyz"])
     return out

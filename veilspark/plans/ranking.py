@@ -32,11 +32,16 @@ def dense_index(df: DataFrame, key: Column, ties: str, name: str = "index") -> D
 
 def smallest(df: DataFrame, key: Column, ties: str, wanted: DataFrame | int, by: list[str] | None = None, name: str = "chosen") -> DataFrame:
     """df with a flag for the `wanted` rows of smallest key: a number, or a table
-    (by columns, wanted). Only the group at the border is ranked."""
+    (by columns, wanted). Only the group at the border is ranked. All rows are
+    chosen where there are no more than wanted."""
     by = by or []
     keyed = df.withColumn("__k", key).withColumn("__p", F.substring("__k", 1, PREFIX))
     offsets = _offsets(keyed, by)
     offsets = offsets.withColumn("wanted", F.lit(wanted)) if isinstance(wanted, int) else offsets.join(wanted, by)
+    # without more rows than wanted, the last group is the border and is taken whole
+    every = Window.partitionBy(*by)
+    border_at = F.least(F.col("wanted"), F.sum("__n").over(every))
+    offsets = offsets.withColumn("wanted", border_at)
     cut = offsets.where((F.col("__before") < F.col("wanted")) & (F.col("__before") + F.col("__n") >= F.col("wanted")))
     cut = cut.select(*by, F.col("__p").alias("__cut"), (F.col("wanted") - F.col("__before")).alias("__take"))
     joined = keyed.join(F.broadcast(cut), by, "left") if by else keyed.join(F.broadcast(cut), F.lit(True), "left")

@@ -10,7 +10,7 @@ from ..operators import ledger, utility
 from ..operators.generators import leaky_release
 from ..operators.release import holdout_size
 from ..plans.ranking import smallest
-from ..schema import CATEGORICAL, NUMERICAL, ColumnSpec, PublicSchema, distinct_counts, is_number
+from ..schema import CATEGORICAL, NUMERICAL, ColumnSpec, PublicSchema, distinct_counts, inferred, is_number
 from ..sources.tables import PUBLIC, order_summary, safe_name, table
 from . import query
 from .sql import ORDER_SUMMARY, sql_key, sql_uniform
@@ -61,10 +61,8 @@ UNION ALL SELECT 'c_nationkey', CAST(min(c_nationkey) AS DOUBLE), CAST(max(c_nat
 UNION ALL SELECT 'c_mktsegment', NULL, NULL, string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT c_mktsegment AS v FROM customer)""")
 def infer_schema_stats(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_acctbal", "c_nationkey", "c_mktsegment")
-    stats = df.agg(*[f(c).cast("double").alias(k + c) for c in ("c_acctbal", "c_nationkey") for k, f in (("lo", F.min), ("hi", F.max))], F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("levels"))
-    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col("lo" + c).alias("lower"), F.col("hi" + c).alias("upper"), text.alias("levels")) for c in ("c_acctbal", "c_nationkey")]
-    return stats.select(F.inline(F.array(*rows, F.struct(F.lit("c_mktsegment").alias("column_name"), none.alias("lower"), none.alias("upper"), F.col("levels").alias("levels")))))
+    found = inferred(df)
+    return found.select(F.col("column").alias("column_name"), "lower", "upper", F.array_join("levels", ",").alias("levels"))
 
 
 @query(f"""
@@ -79,7 +77,7 @@ WITH c AS (SELECT *, count(*) OVER (PARTITION BY quality) AS n FROM labels)
 SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {sql_key('strata', 'doc_id')}, doc_id) <= round(n * 0.2) AS test FROM c""")
 def stratified_split(spark, sf_dir):
     df = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return smallest(df, seeded.key("strata", "doc_id"), "doc_id", utility.stratified_sizes(df, "quality"), ["quality"], "test")
+    return utility.test_split(df, "quality", "doc_id", "strata")
 
 
 @query(f"""
