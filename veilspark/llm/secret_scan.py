@@ -3,14 +3,18 @@ expressions only at keyword hits, checksum validation of what they match.
 
 One automaton holds the keywords of every kind. A text is scanned once; at each
 hit the kind's expression is tried at that position only. Kinds whose tokens
-embed a checksum are reported only if it holds. The kind `hex` has no keyword:
-its runs are found by a single character-class expression.
+embed a checksum are reported only if it holds. The kind `hex` has no keyword; its
+prefilter looks at every HEX_LEAST-th character, one of which lies in any run that
+is long enough, and the expression is tried around those that are digits only.
 
 Kinds, in the order used for ties: assign, access, hex (the base kinds), then
 github and npm (CRC-32 in base 62), slip (base58check private keys, `xprv`
 prefix, double SHA-256) and jwt (a header that decodes to JSON with "alg").
 
-Offsets are code points, end exclusive. Null and empty texts have no spans.
+Offsets are code points, end exclusive. Null and empty texts have no spans; ties
+are in the order of the kinds; repeated rows are scanned again; a null id stays; a
+very long text is scanned in one pass; only doc_id and text are read, and redaction
+leaves columns of any other name as they are.
 """
 
 from __future__ import annotations
@@ -47,7 +51,8 @@ ANCHORED = {
     "slip": re.compile(r"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![0-9A-Za-z])"),
     "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 }
-HEX = re.compile(r"[0-9a-f]{24,}")
+HEX_LEAST = 24
+HEX, HEX_DIGITS = re.compile(r"[0-9a-f]*"), frozenset("0123456789abcdef")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
@@ -106,6 +111,21 @@ def _lower_same_length(text: str) -> str:
     return low
 
 
+def hex_runs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the runs of at least HEX_LEAST hexadecimal digits."""
+    runs, done = [], 0
+    for k, c in enumerate(text[HEX_LEAST - 1 :: HEX_LEAST], 1):
+        at = k * HEX_LEAST - 1
+        if c in HEX_DIGITS and at >= done:
+            start = at
+            while start > done and text[start - 1] in HEX_DIGITS:
+                start -= 1
+            done = HEX.match(text, at).end()
+            if done - start >= HEX_LEAST:
+                runs.append((start, done))
+    return runs
+
+
 def scan(text: str, automaton) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every secret, leftmost without overlap per kind."""
     hits: dict[str, list[int]] = {}
@@ -119,7 +139,7 @@ def scan(text: str, automaton) -> list[tuple[int, str, int]]:
                 at = m.end()
                 if VALID[kind](m):
                     found.append((start, kind, at))
-    found.extend((m.start(), "hex", m.end()) for m in HEX.finditer(text))
+    found.extend((start, "hex", end) for start, end in hex_runs(text))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
