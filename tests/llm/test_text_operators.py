@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -114,10 +115,18 @@ def test_language_held_out_accuracy(documents):
     assert all(0 <= s <= 1 for _, _, s in got.values())
 
 
+def test_hex_runs_equal_a_plain_expression():
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice("0123456789abcdefg") if rng.random() < 0.97 else rng.choice(" xé") for _ in range(rng.randint(0, 120)))
+        assert secret_scan.hex_runs(text) == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)], text
+
+
 def test_language_model_equals_plain_counts(spark):
     rows = [("the the cat", "en"), ("der hund", "de"), ("ab", "en"), (None, "fr"), ("x", None)]
-    languages, table = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    languages, table, prior = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
     assert languages == ["de", "en"]
+    assert np.exp(prior) == pytest.approx([1 / 3, 2 / 3])  # rows with a text
     counts = np.full((language_id.BUCKETS, 2), language_id.SMOOTHING)
     for text, lang in rows[:3]:
         for n in language_id.NGRAMS:

@@ -5,10 +5,14 @@ Training counts every n-gram of every labelled text, as one matrix per
 partition, merged block by block in Spark. The log-probability matrix is small
 and of fixed size (languages x BUCKETS floats) and is broadcast; texts are
 scored in batches by gathering the rows of their n-grams and adding them up per
-text. A prediction sees the text only; all languages have the same prior.
+text, on top of the log priors, the languages' shares of the training rows. A
+prediction sees the text only.
 
 Edge cases: a null text or one without a letter is `und` with score 0; without
-labelled rows everything is `und`; ties go to the first language in order.
+labelled rows everything is `und`; ties go to the first language in order; repeated
+rows count again; very long texts are cut into runs of SLICE_CHARS for memory only;
+columns of clashing names are renamed while at work. MAX_LANGUAGES bounds the size
+of the broadcast matrix; a label column of more values is refused.
 """
 
 from __future__ import annotations
@@ -87,8 +91,8 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "block": [pdf["block"].iloc[0]], "n": [total.tobytes()]})
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities as buckets x languages) from rows (text, lang)."""
+def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, log probabilities as buckets x languages, log priors) from rows (text, lang)."""
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     priors = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(priors) > MAX_LANGUAGES:
@@ -100,21 +104,22 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         for r in merged.toLocalIterator():
             counts[languages.index(r["lang"]), r["block"] : r["block"] + BLOCK] = np.frombuffer(r["n"], np.int64)
     counts += SMOOTHING
-    return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32).copy() if languages else np.zeros((BUCKETS, 0), np.float32)
+    prior = np.log(np.array([priors[v] for v in languages], float) / max(1, sum(priors.values())))
+    return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32).copy() if languages else np.zeros((BUCKETS, 0), np.float32), prior
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with two columns added (columns of their names are replaced): the
     language and its score, the posterior of the best language
-    for the text's mean n-gram log-likelihood, sharpened to the evidence of at
-    most SHARP n-grams so that long texts keep a meaningful score."""
+    for its prior and the text's mean n-gram log-likelihood, sharpened to the evidence
+    of at most SHARP n-grams so that long texts keep a meaningful score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     (letter,) = fresh(docs, "has_letter")
     marked = docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     names = [c for c in docs.columns if c not in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, table = shared.value
+        languages, table, prior = shared.value
         for batch in batches:
             lettered = batch.column(letter).to_numpy(zero_copy_only=False)
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -129,6 +134,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], out: tuple[str
                         sums[own] += np.add.reduceat(table[found], (ends - counts)[own], axis=0)
                     size += counts
                 sums *= np.minimum(1.0, SHARP / np.maximum(size, 1))[:, None]
+                sums += prior
                 odds = np.exp(sums - sums.max(axis=1, keepdims=True))
                 odds /= odds.sum(axis=1, keepdims=True)
                 for i, k in enumerate(odds.argmax(axis=1)):
@@ -153,7 +159,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train_on_documents(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+def train_on_documents(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return train(docs.where(~held_out()))
 
 
