@@ -25,7 +25,7 @@ id, its head. After that only pairs of members in different components are left:
   together. Where at most SMALL members share a rare pair they meet; those of larger
   buckets meet where they share a rare word, and if many do, in salted blocks. Lengths and
   bags of words rule out most pairs exactly, and of one member's pairs with one
-  component SMALL are aligned first, SMALL times as many a round while any are left.
+  component SMALL are aligned first, many times as many a round while any are left.
 So thousands of near copies cost one alignment each, a frequent passage costs its
 documents' prefixes, and no pair that shares a bucket is left out.
 
@@ -60,8 +60,8 @@ SHORT = 120
 SIMILARITY = 0.8
 SMALL = 16
 #: Members of a block of a large bucket; bins of a document's bag of words.
-BLOCK = 512
-BINS = 256
+BLOCK = 2048
+BINS = 128
 #: Values hashed at a time for one document; more tables wait for the next pass.
 MOST_VALUES = 1 << 21
 #: Bits of the filter that keeps other texts out of a shuffle (more texts: a weaker
@@ -216,17 +216,18 @@ def _probes(nodes: np.ndarray) -> list[np.ndarray]:
 
 
 def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
     for batch in batches:
-        at = np.unique(np.concatenate(_probes(batch.column("node").to_numpy().astype(np.int64))))
-        heads = np.flatnonzero(np.diff(at >> 6, prepend=-1))
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), heads) if len(at) else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(at[heads] >> 6), pa.array(bits.view(np.int64))], ["word", "bits"])
+        for at in _probes(batch.column("node").to_numpy().astype(np.int64)):
+            np.bitwise_or.at(table, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    at = np.flatnonzero(table)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].view(np.int64))], ["word", "bits"])
 
 
 def some_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """docs (node, text) without most of those that are not in nodes: a Bloom filter
     of FILTER_BITS, whatever the number of nodes, stands before the shuffle."""
-    found = nodes.select("node").mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = nodes.select("node").distinct().mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 64, np.uint64)
     table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -241,9 +242,8 @@ def some_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.where(may_be("node"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose documents align. The texts are shuffled once, by node."""
-    texts = some_texts(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose documents (node, text) align."""
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     checked = both.select("a", "b", "ta", "tb").mapInArrow(lambda it: given_back(_align(it)), "a long, b long, good boolean")
@@ -345,6 +345,8 @@ def _matches(group: pa.Table) -> pa.Table:
     node, n, label = (group.column(c).to_numpy() for c in ("node", "n", "label"))
     bag, main, most = _bags(group.column("bag")), group.column("main")[0].as_py(), group.column("most")[0].as_py()
     right, out = np.flatnonzero(~left), []
+    if not left.any():  # one block holds the whole bucket
+        left = label != main
     for i in np.flatnonzero(left):
         allowed = np.floor((1 - SIMILARITY) * np.maximum(n[i], n[right]) + 1e-9)
         # two left members of a bucket meet once, from the larger id's side
@@ -360,15 +362,18 @@ def _matches(group: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(v, pa.int64()) for c, v in zip("abr", columns, strict=True)})
 
 
-def crowded_prefixes(crowd: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, n, words and pairs (its rarest), bag of the nodes in crowd. Frequencies are
+def both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
+def crowded_prefixes(texts: DataFrame) -> DataFrame:
+    """node, n, words and pairs (its rarest), bag of every text. Frequencies are
     counted by hash, so they order runs of words roughly; any order that is the same
     for all documents is right."""
-    texts = materialize(some_texts(docs, crowd).join(crowd, "node", "left_semi"), "crowd")
     counted = texts.mapInArrow(_count_runs, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
     counts = np.zeros(2 * COUNTERS, np.int64)
     counts[counted["cell"].to_numpy()] = counted["c"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
     schema = "node long, n long, words array<long>, pairs array<long>, bag binary"
     return materialize(texts.mapInArrow(lambda it: given_back(_prefixes(it, shared.value)), schema), "prefixes")
 
@@ -397,7 +402,7 @@ def across(named: DataFrame, prints: DataFrame, most: int) -> DataFrame:
     own_l, own_r = F.pmod(F.xxhash64("node"), "lb").cast("int"), F.pmod(F.xxhash64("node"), "rb").cast("int")
     kept = ["key", "main", "node", "n", "label", "bag", F.lit(most).alias("most")]
     every_r, every_l = F.explode(F.expr("sequence(0, int(rb) - 1)")), F.explode(F.expr("sequence(0, int(lb) - 1)"))
-    left = mixed.where("label <> main").select(*kept, F.lit(True).alias("left"), own_l.alias("l"), every_r.alias("q"))
+    left = mixed.where("label <> main and lb * rb > 1").select(*kept, F.lit(True).alias("left"), own_l.alias("l"), every_r.alias("q"))
     both = left.unionByName(mixed.select(*kept, F.lit(False).alias("left"), every_l.alias("l"), own_r.alias("q")))
     return materialize(both.groupBy("key", "l", "q").applyInArrow(_matches, "a long, b long, r long"), "across")
 
@@ -425,35 +430,36 @@ def _classes(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1")
     members = materialize(rows.join(shared, "key"), "members")
     tried = materialize(_close(members.select(F.col("head").alias("a"), F.col("node").alias("b")), classes), "pairs")
-    labels = materialize(components(verified(tried, docs)), "labels")
+    labels = materialize(components(verified(tried, some_texts(docs, both_ends(tried)))), "labels")
 
-    def linked(pairs: DataFrame) -> None:
+    def linked(pairs: DataFrame, texts: DataFrame | None = None) -> None:
         nonlocal tried, labels
         new = materialize(_close(pairs, classes).join(tried, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             tried = tried.union(new)
-            labels = with_links(labels, verified(new, docs))
+            labels = with_links(labels, verified(new, some_texts(docs, both_ends(new)) if texts is None else texts))
 
     linked(_small_pairs(_named(members.where(F.col("size") <= SMALL).select("key", "node"), labels)))
     large = _named(members.where(F.col("size") > SMALL).select("key", "node"), labels)
     mixed = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     crowd = materialize(large.join(mixed, "key", "left_semi").select("node").distinct(), "crowd")
     if not crowd.isEmpty():
-        prefixes = crowded_prefixes(crowd, docs)
+        texts = materialize(some_texts(docs, crowd).join(crowd, "node", "left_semi"), "crowd")
+        prefixes = crowded_prefixes(texts)
         prints = prefixes.select("node", "n", "bag")
         by_pair = _shared(prefixes.select(F.explode("pairs").alias("key"), "node"), labels)
         dense = by_pair.where(F.col("size") > SMALL).select("node").distinct()
         by_word = _shared(prefixes.join(dense, "node", "left_semi").select(F.explode("words").alias("key"), "node"), labels)
         few = by_pair.where(F.col("size") <= SMALL).unionByName(by_word.where(F.col("size") <= SMALL)).select("key", "node")
         many = by_word.where(F.col("size") > SMALL).select("key", "node")
-        linked(alike(_close(_small_pairs(_named(few, labels)), classes), prints))
+        linked(alike(_close(_small_pairs(_named(few, labels)), classes), prints), texts)
         most = SMALL
         while not many.isEmpty():
             found = across(_named(many, labels), prints, most)
-            linked(found.where(F.col("r") < most).select("a", "b"))
+            linked(found.where(F.col("r") < most).select("a", "b"), texts)
             if found.where(F.col("r") == most).isEmpty():
                 break
-            most *= SMALL
+            most *= SMALL * SMALL
     named = _named(classes.select("digest", "node"), labels).select("digest", "label")
     return sketches.select("node", "digest").join(named, "digest", "left").select("node", F.coalesce("label", "node").alias("label"))
 
