@@ -16,7 +16,8 @@ unedited words (of 2 words for 5, 3 for up to 15, else 4), and all their runs ar
 
 Documents with equal words are one class from the start; only its smallest id is
 sketched and compared. Each member of a bucket is aligned with the bucket's smallest
-id, its head. After that only pairs of members in different components are left:
+id, its head: first with the smallest of its heads, then with those of other
+components. After that only pairs of members in different components are left:
 * in buckets of at most SMALL members all of them are aligned;
 * members of larger buckets go through an exact similarity join. Two texts within
   SIMILARITY share so many of their neighbouring word pairs, and of their words, that
@@ -429,7 +430,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     rows = worded.groupBy("digest").agg(F.min("node").alias("node"), F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1")
     members = materialize(rows.join(shared, "key"), "members")
-    tried = materialize(_close(members.select(F.col("head").alias("a"), F.col("node").alias("b")), classes), "pairs")
+    # one head a member links the most part of a large group; the other heads follow
+    first = members.groupBy("node").agg(F.min("head").alias("head"))
+    tried = materialize(_close(first.select(F.col("head").alias("a"), F.col("node").alias("b")), classes), "pairs")
     labels = materialize(components(verified(tried, some_texts(docs, both_ends(tried)))), "labels")
 
     def linked(pairs: DataFrame, texts: DataFrame | None = None) -> None:
@@ -439,6 +442,10 @@ def _classes(docs: DataFrame) -> DataFrame:
             tried = tried.union(new)
             labels = with_links(labels, verified(new, some_texts(docs, both_ends(new)) if texts is None else texts))
 
+    stars = members.where("node <> head").select("head", "node").distinct()
+    by_head = labels.select(F.col("node").alias("head"), F.col("label").alias("other"))
+    apart = _named(stars, labels).join(by_head, "head", "left").where(F.coalesce("other", "head") != F.col("label"))
+    linked(apart.select(F.col("head").alias("a"), F.col("node").alias("b")))
     linked(_small_pairs(_named(members.where(F.col("size") <= SMALL).select("key", "node"), labels)))
     large = _named(members.where(F.col("size") > SMALL).select("key", "node"), labels)
     mixed = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
