@@ -28,11 +28,20 @@ def test_substring_dedup_of_few_words(spark, size):
     assert got == substring_dedup.brute_force(rows, size)
 
 
-def test_substring_dedup_full_sketch_loses_nothing(spark, document_rows, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "MAX_CELLS", 1 << 10)
-    monkeypatch.setattr(substring_dedup, "MIN_CELLS", 1 << 10)
+def test_substring_dedup_full_sketch_loses_nothing(spark, document_rows):
     docs = spark.createDataFrame(document_rows, "doc_id long, text string")
-    assert result(substring_dedup.removal_digest(docs), "n_words", "n_removed", "kept_sha256") == substring_dedup.brute_force(document_rows)
+    want = substring_dedup.brute_force(document_rows)
+    for sketch in ({"cells": 1 << 8, "per_entry": 1e-9}, {"cells": 1 << 8}):  # one full shard; many shards
+        assert result(substring_dedup.removal_digest(docs, **sketch), "n_words", "n_removed", "kept_sha256") == want
+
+
+def test_substring_dedup_tells_regular_words_apart(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    x, y = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    start = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{start} {x}"), (2, f"{start} {y}"), (3, f"{start} {x} end")]
+    got = result(substring_dedup.removal_digest(spark.createDataFrame(rows, "doc_id long, text string")), "n_words", "n_removed", "kept_sha256")
+    assert got == substring_dedup.brute_force(rows)
 
 
 def test_substring_dedup_edges(odd_documents, no_documents):

@@ -147,24 +147,38 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, power
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_WORD = Powers(0x5851F42D4C957F2D)
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, twice: bool = False) -> tuple:
     """64-bit hash of every word, and for every text the index of its first
-    word (n + 1 entries)."""
+    word (n + 1 entries); with `twice` a second, independent hash in between.
+
+    A word's hash is the sum of the mixed (byte, place) pairs, so no regular
+    word collides by its structure, as it may in a polynomial modulo 2**64."""
     if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.uint64)
+        return (none,) * (1 + twice) + (np.zeros(len(offsets), np.int64),)
     inside = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | edge[1:-1]
-    stops = inside
+    stops = inside.copy()
     stops[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    return range_hashes(_BYTE[data], starts, ends, _WORD), np.searchsorted(starts, offsets)
+    lengths = ends - starts
+    at = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
+    pairs = mix64(((place << 8) + data[inside] + 1).astype(np.uint64) * _PLACE)
+    found = []
+    for _ in range(1 + twice):
+        sums = np.add.reduceat(pairs, at) if len(at) else np.zeros(0, np.uint64)
+        found.append(mix64(sums + lengths.astype(np.uint64) * _PLACE))
+        if twice and len(found) == 1:
+            pairs = mix64(pairs + _OTHER)
+    return (*found, np.searchsorted(starts, offsets))
 
 
 def window_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,23 +1,31 @@
 """Substring deduplication of word windows with a count-min prefilter.
 
-Pass 1 builds, in every partition, a count-min sketch whose counters stop at
-two (two bit planes: seen once, seen twice) and merges the partition sketches
-block by block. A window is entered under its minimiser: the smallest hash of
-the GRAM-word sequences inside it. Equal windows have equal minimisers, so the
-counter of a window's minimiser never underestimates the number of documents
-with the window, and neighbouring windows share one entry.
+Documents are dealt by id into parts of about PART_BYTES of text.
+
+Pass 1 builds a count-min sketch of every part, whose counters stop at two. A
+window is entered under its minimiser: the smallest hash of the GRAM-word
+sequences inside it. Equal windows have equal minimisers, so the counter of a
+window's minimiser never underestimates the number of documents with the window,
+and neighbouring windows share one entry. The counters are dealt into shards of
+fixed size by the hash of the entry; their number grows with the corpus, at
+PER_ENTRY counters an entry. The sketches of all parts are merged shard by shard
+(only counters above zero travel), and each part gets back which of its own
+counters are two or more in the merged sketch. So no task holds more than one
+shard, nothing is broadcast, and an entry that a third of the corpus shares
+counts once a part.
 
 Pass 2 sends only windows whose estimate is two or more to an exact grouping on
-a 128-bit window hash, which names the first document of each. Every such
-window returns as one row to its first document only, so a passage that a third
-of the corpus shares costs one row on the way back, whatever its count.
+two independent 64-bit window hashes, which names the first document of each.
+Every such window returns as one row to its first document only, so a passage that
+a third of the corpus shares costs one row on the way back, whatever its count.
 
-Pass 3 joins those rows to the documents and removes the words of candidate
-windows that are not the document's own.
+Pass 3 takes those rows to the parts and removes the words of candidate windows
+that are not the document's own. All passes read the same exchange of the texts.
 
 Edge cases: null or empty text has no words; fewer words than a window has no
 window; rows with the same doc_id do not remove each other's words; a row with
-a null doc_id neither removes nor loses words; other columns are ignored.
+a null doc_id neither removes nor loses words and takes no part in the exchange;
+a very long text is a part of its own size; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +37,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,23 +46,21 @@ from .common import Powers, mix64, range_hashes, slices, text_buffer, window_sta
 #: Words of the sequences whose smallest hash stands for a window.
 GRAM = 6
 DEPTH = 2
-#: Counters of a sketch row: four for each expected entry, within these bounds.
-#: The upper bound keeps the merged planes at DEPTH * 16 MB for any corpus; a
-#: fuller sketch lets more windows through to the exact pass and loses none.
-MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 27
-BLOCK_BYTES = 1 << 16
+#: Counters of one shard of a sketch row, and counters for each expected entry.
+SHARD_CELLS, PER_ENTRY = 1 << 21, 4
+#: Bytes of text of a part.
+PART_BYTES = 32 << 20
 
 _FIRST, _SECOND, _GRAM = Powers(0xD1342543DE82EF95), Powers(0xAF251AF3B0F025B5), Powers(0xDA942042E4DD58B5)
 
 
 def _windows(column: pa.Array, size: int) -> tuple:
-    """(word starts per text, window starts, windows per text, minimiser of each window, word hashes)"""
-    data, offsets = text_buffer(column)
-    hashes, first = words(data, offsets)
+    """(word starts per text, window starts, windows per text, minimiser of each window, both word hashes)"""
+    hashes, other, first = words(*text_buffer(column), twice=True)
     at, counts = window_starts(first, size)
+    if len(at) == 0:
+        return first, at, counts, np.zeros(0, np.uint64), hashes, other
     gram = min(GRAM, size)
-    if len(hashes) < size:
-        return first, at, counts, np.zeros(0, np.uint64), hashes
     grams = np.arange(len(hashes) - gram + 1)
     least = range_hashes(hashes, grams, grams + gram, _GRAM)
     span, width = size - gram + 1, 1
@@ -61,170 +68,212 @@ def _windows(column: pa.Array, size: int) -> tuple:
         step = min(width, span - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    return first, at, counts, least[at], hashes
+    return first, at, counts, least[at], hashes, other
 
 
-def _exact_keys(hashes: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    one = range_hashes(hashes, at, at + size, _FIRST)
-    two = range_hashes(mix64(hashes + np.uint64(1)), at, at + size, _SECOND)
+def _entries(least: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The minimiser of every run of windows of one text that share it, and the run of each window."""
+    new = np.ones(len(least), bool)
+    new[1:] = least[1:] != least[:-1]
+    new[(np.cumsum(counts) - counts)[counts > 0]] = True
+    return least[new], np.cumsum(new) - 1
+
+
+def _exact_keys(hashes: np.ndarray, other: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    one, two = range_hashes(hashes, at, at + size, _FIRST), range_hashes(other, at, at + size, _SECOND)
     return one.view(np.int64), two.view(np.int64)
 
 
-def _cells(entries: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return (mix64(entries + np.uint64(row * 0x9E3779B97F4A7C15 & (2**64 - 1))) & np.uint64(cells - 1)).astype(np.int64)
+def _cells(entries: np.ndarray, row: int, shards: int, cells: int) -> np.ndarray:
+    """Counter of each entry in a sketch row: shard * cells + counter of the shard."""
+    entries = mix64(entries)  # minimisers are small hashes
+    shard = (entries >> np.uint64(33)) & np.uint64(shards - 1)
+    cell = mix64(entries + np.uint64((row + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) & np.uint64(cells - 1)
+    return (shard * np.uint64(cells) + cell).astype(np.int64)
 
 
-def _set_bits(plane: np.ndarray, sorted_cells: np.ndarray) -> None:
-    if len(sorted_cells) == 0:
-        return
-    at = sorted_cells >> 3
-    heads = np.flatnonzero(np.diff(at, prepend=-1))
-    plane[at[heads]] |= np.bitwise_or.reduceat((1 << (sorted_cells & 7)).astype(np.uint8), heads)
+def _packed(cells: np.ndarray, twice: np.ndarray) -> bytes:
+    """Rising counters of a shard with the mark "two or more", as compressed gaps."""
+    return zlib.compress((np.diff(cells, prepend=0).astype(np.uint32) << 1 | twice).tobytes(), 1)
 
 
-def _sketch_partition(batches: Iterator[pa.RecordBatch], size: int, cells: int) -> Iterator[pa.RecordBatch]:
-    once = np.zeros((DEPTH, cells // 8), np.uint8)
-    twice = np.zeros((DEPTH, cells // 8), np.uint8)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            _, at, counts, least, _ = _windows(part.column("text"), size)
-            if len(at) == 0:
-                continue
-            new = np.ones(len(at), bool)
-            new[1:] = least[1:] != least[:-1]
-            new[(np.cumsum(counts) - counts)[counts > 0]] = True
-            entries = least[new]
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps = np.frombuffer(zlib.decompress(raw), np.uint32)
+    return np.cumsum(gaps >> 1, dtype=np.int64), (gaps & 1).astype(np.uint8)
+
+
+def _part_sketch(docs: pa.Table, size: int, shards: int, cells: int) -> pa.Table:
+    part = docs.column("part")[0].as_py()
+    found: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
+    for batch in docs.to_batches():
+        for piece in slices(batch, "text"):
+            _, _, counts, least, _, _ = _windows(piece.column("text"), size)
+            entries, _ = _entries(least, counts)
             for row in range(DEPTH):
-                hit, n = np.unique(_cells(entries, row, cells), return_counts=True)
-                before = (once[row][hit >> 3] >> (hit & 7)) & 1
-                _set_bits(twice[row], hit[(before == 1) | (n > 1)])
-                _set_bits(once[row], hit)
-    size_of = min(BLOCK_BYTES, cells // 8)
+                found[row].append(_cells(entries, row, shards, cells))
+    out: dict[str, list] = {"shard": [], "row": [], "cells": []}
     for row in range(DEPTH):
-        for block in range(cells // 8 // size_of):
-            part = slice(block * size_of, (block + 1) * size_of)
-            if once[row][part].any():
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "row": pa.array([row], pa.int32()),
-                        "block": pa.array([block], pa.int32()),
-                        "once": pa.array([zlib.compress(once[row][part], 1)], pa.binary()),
-                        "twice": pa.array([zlib.compress(twice[row][part], 1)], pa.binary()),
-                    }
-                )
-
-
-def _merge_blocks(pdf):
-    once = twice = None
-    for a, b in zip(pdf["once"], pdf["twice"], strict=True):
-        a, b = np.frombuffer(zlib.decompress(a), np.uint8), np.frombuffer(zlib.decompress(b), np.uint8)
-        if once is None:
-            once, twice = a.copy(), b.copy()
-        else:
-            twice |= b | (once & a)
-            once |= a
-    import pandas as pd
-
-    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "block": [pdf["block"].iloc[0]], "twice": [zlib.compress(twice, 1)]})
-
-
-def build_sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """The merged plane "estimated twice or more" of each sketch row. Its size
-    is bounded by MAX_CELLS, so it may pass through the driver."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    entries = total // 6 * 2 // 9 + 1  # about six bytes a word, a minimiser for 2 of 9 words
-    cells = min(MAX_CELLS, max(MIN_CELLS, 1 << int(4 * entries - 1).bit_length()))
-    tasks = max(2, 2 * spark.sparkContext.defaultParallelism)
-    rows = (
-        docs.select("text")
-        .coalesce(tasks)
-        .mapInArrow(lambda it: _sketch_partition(it, size, cells), "row int, block int, once binary, twice binary")
-        .groupBy("row", "block")
-        .applyInPandas(_merge_blocks, "row int, block int, twice binary")
+        hit, n = np.unique(np.concatenate(found[row]), return_counts=True)
+        shard = hit // cells
+        begins = np.flatnonzero(np.diff(shard, prepend=-1))
+        for begin, end in zip(begins, np.append(begins, len(hit))[1:], strict=True):
+            out["shard"].append(int(shard[begin]))
+            out["row"].append(row)
+            out["cells"].append(_packed(hit[begin:end] - shard[begin] * cells, (n[begin:end] > 1).astype(np.uint32)))
+    return pa.table(
+        {
+            "part": pa.array([part] * len(out["row"]), pa.int64()),
+            "shard": pa.array(out["shard"], pa.int64()),
+            "row": pa.array(out["row"], pa.int32()),
+            "cells": pa.array(out["cells"], pa.binary()),
+        }
     )
-    planes = np.zeros((DEPTH, cells // 8), np.uint8)
-    step = min(BLOCK_BYTES, cells // 8)
-    for r in rows.toLocalIterator():
-        planes[r["row"], r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
-    return planes
 
 
-def _estimated_repeated(least: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    found = np.ones(len(least), bool)
-    for row in range(DEPTH):
-        cell = _cells(least, row, planes.shape[1] * 8)
-        found &= ((planes[row][cell >> 3] >> (cell & 7)) & 1).astype(bool)
-    return found
+def _merge_shard(sketches: pa.Table, cells: int) -> pa.Table:
+    """Adds up one shard of all parts' sketches; each part's counters of two or more."""
+    counters = np.zeros(cells, np.uint8)
+    column = sketches.column("cells")
+    for raw in column:
+        hit, twice = _unpacked(raw.as_py())
+        counters[hit] = np.minimum(2, counters[hit] + 1 + twice)
+    answers = []
+    for raw in column:
+        hit, _ = _unpacked(raw.as_py())
+        hit = hit[counters[hit] == 2]
+        answers.append(_packed(hit, np.zeros(len(hit), np.uint32)))
+    at = sketches.schema.get_field_index("cells")
+    return sketches.set_column(at, "cells", pa.array(answers, pa.binary()))
+
+
+def _answers(table: pa.Table, cells: int) -> list[np.ndarray]:
+    """For each sketch row the sorted counters that are two or more in the merged sketch."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(DEPTH)]
+    for batch in table.to_batches():
+        for shard, row, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "row", "cells")), strict=True):
+            if raw is not None:
+                found[row].append(_unpacked(raw)[0] + shard * cells)
+    return [np.sort(np.concatenate(f)) for f in found]
+
+
+def _repeated(least: np.ndarray, counts: np.ndarray, answers: list[np.ndarray], shards: int, cells: int) -> np.ndarray:
+    """Which windows have an estimate of two or more."""
+    entries, run = _entries(least, counts)
+    found = np.ones(len(entries), bool)
+    for row, known in enumerate(answers):
+        wanted = _cells(entries, row, shards, cells)
+        at = np.searchsorted(known, wanted)
+        found &= np.append(known, -1)[at] == wanted
+    return found[run]
+
+
+def _owned(one: np.ndarray, two: np.ndarray, ids: np.ndarray, firsts: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which keys belong to a window whose first document is the given one;
+    firsts (first hash, second hash, doc_id) are sorted by the first hash."""
+    own = np.zeros(len(one), bool)
+    low, high = np.searchsorted(firsts[0], one, "left"), np.searchsorted(firsts[0], one, "right")
+    for step in range(int((high - low).max(initial=0))):
+        at = np.minimum(low + step, len(firsts[0]) - 1)
+        own |= (low + step < high) & (firsts[1][at] == two) & (firsts[2][at] == ids)
+    return own
+
+
+_KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
+
+
+def _kept_rows(ids: pa.Array, texts: pa.Array, gone: list) -> pa.RecordBatch:
+    """The result rows; gone[i] marks the removed words of text i (None: none)."""
+    n_words, n_removed, kept = [], [], []
+    for text, marks in zip(texts, gone, strict=True):
+        tokens = (text.as_py() or "").encode().split()
+        rest = tokens if marks is None else list(compress(tokens, ~marks))
+        n_words.append(len(tokens))
+        n_removed.append(len(tokens) - len(rest))
+        kept.append(b" ".join(rest))
+    return pa.RecordBatch.from_pydict(
+        {
+            "doc_id": ids,
+            "n_words": pa.array(n_words, pa.int64()),
+            "n_removed": pa.array(n_removed, pa.int64()),
+            "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
+        }
+    )
+
+
+def _kept_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in slices(batch, "text"):
+            yield _kept_rows(piece.column("doc_id"), piece.column("text"), [None] * piece.num_rows)
 
 
-def substring_dedup(docs: DataFrame, size: int = 13) -> DataFrame:
+def substring_dedup(docs: DataFrame, size: int = 13, cells: int = SHARD_CELLS, per_entry: float = PER_ENTRY) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    planes = docs.sparkSession.sparkContext.broadcast(build_sketch(docs, size))
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                _, at, counts, least, hashes = _windows(part.column("text"), size)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                keep = _estimated_repeated(least, planes.value)
-                one, two = _exact_keys(hashes, at[keep], size)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[doc[keep]]
-                yield pa.RecordBatch.from_pydict({"h1": pa.array(one), "h2": pa.array(two), "doc_id": pa.array(ids.astype(np.int64))})
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    entries = total // 6 * 2 // 9 + 1  # about six bytes a word, a minimiser for 2 of 9 words
+    shards = 1 << max(0, int(per_entry * entries / cells)).bit_length()
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
+    dealt = (
+        docs.where("doc_id is not null")
+        .select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long").alias("part"), "doc_id", "text")
+        .repartition(parts, "part")
+    )
+
+    answers = (
+        dealt.groupBy("part")
+        .applyInArrow(lambda t: _part_sketch(t, size, shards, cells), "part long, shard long, row int, cells binary")
+        .groupBy("shard", "row")
+        .applyInArrow(lambda t: _merge_shard(t, cells), "part long, shard long, row int, cells binary")
+    )
+
+    def candidates(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        known = _answers(answers, cells)
+        out = []
+        for batch in docs.to_batches():
+            for piece in slices(batch, "text"):
+                _, at, counts, least, hashes, other = _windows(piece.column("text"), size)
+                keep = _repeated(least, counts, known, shards, cells)
+                one, two = _exact_keys(hashes, other, at[keep], size)
+                ids = np.repeat(piece.column("doc_id").to_numpy(), counts)[keep]
+                out.append(pa.RecordBatch.from_pydict({"h1": pa.array(one), "h2": pa.array(two), "doc_id": pa.array(ids)}))
+        schema = pa.schema({"h1": pa.int64(), "h2": pa.int64(), "doc_id": pa.int64()})
+        return pa.Table.from_batches(out, schema)
 
     firsts = (
-        docs.where("doc_id is not null")
-        .mapInArrow(candidates, "h1 long, h2 long, doc_id long")
+        dealt.groupBy("part")
+        .cogroup(answers.groupBy("part"))
+        .applyInArrow(candidates, "h1 long, h2 long, doc_id long")
         .groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("doc_id"))
-        .groupBy("doc_id")
-        .agg(F.collect_list("h1").alias("own"))
+        .select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long").alias("part"), "h1", "h2", "doc_id")
     )
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                first, at, counts, least, hashes = _windows(part.column("text"), size)
-                repeated = _estimated_repeated(least, planes.value)
-                one, _ = _exact_keys(hashes, at, size)
-                ids, own = part.column("doc_id"), part.column("own")
-                stops = np.cumsum(counts)
-                n_words, n_removed, kept = [], [], []
-                for i in range(part.num_rows):
-                    text = part.column("text")[i].as_py()
-                    tokens = text.encode().split() if text else []
-                    window = slice(stops[i] - counts[i], stops[i])
-                    gone = repeated[window]
-                    if ids[i].is_valid and gone.any():
-                        mine = own[i].values.to_numpy() if own[i].is_valid else np.zeros(0, np.int64)
-                        gone = gone & ~np.isin(one[window], mine)
-                        cover = np.zeros(len(tokens) + 1, np.int64)
-                        hits = at[window][gone] - first[i]
-                        np.add.at(cover, hits, 1)
-                        np.add.at(cover, hits + size, -1)
-                        stay = np.cumsum(cover)[:-1] == 0
-                        rest = list(compress(tokens, stay))
-                    else:
-                        rest = tokens
-                    n_words.append(len(tokens))
-                    n_removed.append(len(tokens) - len(rest))
-                    kept.append(b" ".join(rest))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": ids,
-                        "n_words": pa.array(n_words, pa.int64()),
-                        "n_removed": pa.array(n_removed, pa.int64()),
-                        "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
-                    }
-                )
-
-    return docs.join(firsts, "doc_id", "left").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
-
-
-def removal_digest(docs: DataFrame, size: int = 13) -> DataFrame:
+    def remove(docs: pa.Table, facts: pa.Table) -> pa.Table:
+        known = _answers(facts, cells)
+        facts = facts.filter(pc.is_valid(facts.column("h1"))).sort_by("h1")
+        firsts = tuple(facts.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
+        out = []
+        for batch in docs.to_batches():
+            for piece in slices(batch, "text"):
+                first, at, counts, least, hashes, other = _windows(piece.column("text"), size)
+                gone = _repeated(least, counts, known, shards, cells)
+                one, two = _exact_keys(hashes, other, at[gone], size)
+                ids = np.repeat(piece.column("doc_id").to_numpy(), counts)
+                gone[gone] = ~_owned(one, two, ids[gone], firsts)
+                hits, n = at[gone], len(hashes) + 1
+                covered = np.cumsum(np.bincount(hits, minlength=n) - np.bincount(hits + size, minlength=n)) > 0
+                marks = [covered[first[i] : first[i + 1]] for i in range(piece.num_rows)]
+                out.append(_kept_rows(piece.column("doc_id"), piece.column("text"), marks))
+        return pa.Table.from_batches(out)
+
+    facts = answers.unionByName(firsts, allowMissingColumns=True)
+    kept = dealt.groupBy("part").cogroup(facts.groupBy("part")).applyInArrow(remove, _KEPT)
+    return kept.unionByName(docs.where("doc_id is null").mapInArrow(_kept_whole, _KEPT))
+
+
+def removal_digest(docs: DataFrame, size: int = 13, **sketch) -> DataFrame:
     """The operator's result with the kept text as its SHA-256."""
-    return substring_dedup(docs, size).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return substring_dedup(docs, size, **sketch).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def brute_force(rows: list[tuple], size: int = 13) -> dict:
