@@ -48,8 +48,8 @@ GRAM = 6
 DEPTH = 2
 #: Counters of one shard of a sketch row, and counters for each expected entry.
 SHARD_CELLS, PER_ENTRY = 1 << 21, 4
-#: Bytes of text of a part.
-PART_BYTES = 32 << 20
+#: Bytes of text of a part and of a task, which takes its parts one after another.
+PART_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 
 _FIRST, _SECOND, _GRAM = Powers(0xD1342543DE82EF95), Powers(0xAF251AF3B0F025B5), Powers(0xDA942042E4DD58B5)
 
@@ -212,11 +212,12 @@ def substring_dedup(docs: DataFrame, size: int = 13, cells: int = SHARD_CELLS, p
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     entries = total // 6 * 2 // 9 + 1  # about six bytes a word, a minimiser for 2 of 9 words
     shards = 1 << max(0, int(per_entry * entries / cells)).bit_length()
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
+    tasks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    parts = max(tasks, -(-total // PART_BYTES))
     dealt = (
         docs.where("doc_id is not null")
         .select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long").alias("part"), "doc_id", "text")
-        .repartition(parts, "part")
+        .repartition(tasks, "part")
     )
 
     answers = (
