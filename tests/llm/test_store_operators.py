@@ -304,6 +304,20 @@ def test_recall_of_scattered_edits(spark):
     assert found[0.2, False] >= 0.9 and found[0.15, False] >= 0.97 and found[0.1, False] == found[0.05, False] == 1, found
 
 
+def test_bags_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    one, two = [], []
+    for _ in range(300):
+        a = rng.integers(0, rng.choice([3, 40, 60000]), rng.integers(0, 60))
+        b = np.delete(a, rng.integers(0, max(1, len(a)), min(len(a), 3)))
+        b = np.insert(b, rng.integers(0, len(b) + 1, 4), rng.integers(0, 50, 4))
+        one.append(a), two.append(b if rng.random() < 0.9 else b[:0])
+    bound = order_minhash.bag_edits(*([np.sort(x.astype(np.uint16)).tobytes() for x in side] for side in (one, two)))
+    exact = [order_minhash.banded_distance(a, b, 200) for a, b in zip(one, two, strict=True)]
+    assert (bound <= np.array(exact)).all() and bound.max() > 0
+    assert len(order_minhash.bag_edits([], [])) == 0 and order_minhash.bag_edits([b""], [b""]).tolist() == [0]
+
+
 def test_short_documents_share_a_run():
     """The claim behind run_keys: of documents of at most SHORT words."""
     for m in range(order_minhash.K, order_minhash.SHORT + 1):

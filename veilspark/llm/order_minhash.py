@@ -17,7 +17,9 @@ unedited words (of 2 words for 5, 3 for up to 15, else 4), and all their runs ar
 Documents with equal words are one class from the start; only its smallest id is
 sketched and compared. Each member of a bucket is aligned with the bucket's smallest
 id, its head: first with the smallest of its heads, then with those of other
-components. After that only pairs of members in different components are left:
+components. Pairs whose lengths or bags of words show more edits than a link may have
+are never aligned, and their texts never travel: a lower bound of the edits, so no link
+is lost. After that only pairs of members in different components are left:
 * in buckets of at most SMALL members all of them are aligned;
 * members of larger buckets go through an exact similarity join. Two texts within
   SIMILARITY share so many of their neighbouring word pairs, and of their words, that
@@ -62,7 +64,7 @@ SIMILARITY = 0.8
 SMALL = 16
 #: Members of a block of a large bucket; bins of a document's bag of words.
 BLOCK = 2048
-BINS = 128
+BINS = 512
 #: Values hashed at a time for one document; more tables wait for the next pass.
 MOST_VALUES = 1 << 21
 #: Bits of the filter that keeps other texts out of a shuffle (more texts: a weaker
@@ -255,11 +257,48 @@ def _fitting(na: Column, nb: Column) -> Column:
     return F.abs(na - nb) <= F.floor(F.lit(1 - SIMILARITY) * F.greatest(na, nb) + 1e-9)
 
 
-def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose lengths allow a link, each once."""
+def _word_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n and the sorted 16-bit word hashes of each text."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            hashes, first = words(*text_buffer(part.column("text")))
+            low = hashes.astype(np.uint16)
+            bags = [np.sort(low[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.diff(first)), pa.array(bags, pa.binary())], ["node", "n", "bag"])
+
+
+def bag_edits(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """For each pair of bags of 16-bit word hashes a lower bound of the word edits
+    between the texts: an edit takes at most one word away and brings at most one."""
+    codes = []
+    for side, bags in enumerate((one, two)):
+        rows = np.repeat(np.arange(len(bags), dtype=np.uint64), [len(b) // 2 for b in bags])
+        codes.append((rows << np.uint64(16) | np.frombuffer(b"".join(bags), np.uint16)) << np.uint64(1) | np.uint64(side))
+    ordered = np.sort(np.concatenate(codes))
+    if len(ordered) == 0:
+        return np.zeros(len(one), np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] >> np.uint64(1) != ordered[:-1] >> np.uint64(1)]))
+    more = np.add.reduceat(np.where(ordered & np.uint64(1), 1, -1), heads)
+    row = (ordered[heads] >> np.uint64(17)).astype(np.int64)
+    gone, come = (np.bincount(row, np.maximum(x, 0), len(one)) for x in (-more, more))
+    return np.maximum(gone, come).astype(np.int64)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "ba"):
+            allowed = [allowed_edits(n) for n in np.maximum(part.column("na").to_numpy(), part.column("nb").to_numpy()).tolist()]
+            ok = bag_edits(part.column("ba").to_pylist(), part.column("bb").to_pylist()) <= np.array(allowed)
+            yield part.select(["a", "b"]).filter(pa.array(ok))
+
+
+def _close(pairs: DataFrame, bags: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) whose lengths and bags of words allow a link, each once, without those tried."""
     each = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    by_a, by_b = (classes.select(F.col("node").alias(c), F.col("n").alias("n" + c)) for c in "ab")
-    return each.join(by_b, "b").join(by_a, "a").where(_fitting(F.col("na"), F.col("nb"))).select("a", "b")
+    each = each if tried is None else each.join(tried, ["a", "b"], "left_anti")
+    by_a, by_b = (bags.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("bag").alias("b" + c)) for c in "ab")
+    both = each.join(by_b, "b").join(by_a, "a").where(_fitting(F.col("na"), F.col("nb")))
+    return both.mapInArrow(lambda it: given_back(_alike(it)), "a long, b long")
 
 
 def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -267,10 +306,14 @@ def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _small_pairs(named: DataFrame) -> DataFrame:
-    """(a, b) of different labels in buckets of at most SMALL members."""
-    mixed = named.groupBy("key").agg(F.collect_list(F.struct("node", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    pair = F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.label <> x.label), y -> struct(x.node as a, y.node as b))))")
-    return mixed.select(F.explode(pair).alias("p")).select("p.*")
+    """(a, b) of different labels and fitting lengths in buckets (key, node, n, label) of at most SMALL members."""
+    mixed = named.groupBy("key").agg(F.collect_list(F.struct("node", "label", "n")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+
+    def partners(x: Column, i: Column) -> Column:
+        found = F.filter(F.slice("m", i + 2, F.size("m")), lambda y: (y["label"] != x["label"]) & _fitting(x["n"], y["n"]))
+        return F.transform(found, lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
+
+    return mixed.select(F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("p.*")
 
 
 # ------------------------------------------------------------ exact join of crowded buckets
@@ -322,22 +365,15 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator
 
 
 def _apart(bags: np.ndarray, bag: np.ndarray, gap: np.ndarray) -> np.ndarray:
-    """A lower bound of the edits from bags of words and the lengths' difference."""
-    return (np.abs(bags.astype(np.int16) - bag.astype(np.int16)).sum(1, dtype=np.int64) + np.abs(gap)) // 2
+    """A lower bound of the edits from binned bags of words and the lengths' difference."""
+    shared = np.minimum(bags, bag).sum(1, dtype=np.int64)
+    return (bags.sum(1, dtype=np.int64) + bag.sum(dtype=np.int64) - 2 * shared + np.abs(gap)) // 2
 
 
 def _bags(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        allowed = np.floor((1 - SIMILARITY) * np.maximum(na, nb) + 1e-9)
-        ok = (np.abs(na - nb) <= allowed) & (_apart(_bags(batch.column("ba")), _bags(batch.column("bb")), na - nb) <= allowed)
-        yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-
 def _matches(group: pa.Table) -> pa.Table:
     """Pairs (a, b, r) of a block of left members with a block of right ones, without
     those that lengths or bags of words rule out or that have one label. r counts the
@@ -380,16 +416,10 @@ def crowded_prefixes(texts: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (key, node) of keys whose members have several labels, with their number."""
+    """The rows (key, node, n) of keys whose members have several labels, with their number."""
     named = _named(rows, labels)
     per = named.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return materialize(named.join(per.select("key", "size"), "key").select("key", "node", "size"), "rare")
-
-
-def alike(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (a, b) that bags of words do not rule out."""
-    sides = [prints.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("bag").alias("b" + c)) for c in "ab"]
-    return pairs.join(sides[1], "b").join(sides[0], "a").mapInArrow(_alike, "a long, b long")
+    return materialize(named.join(per.select("key", "size"), "key").select("key", "node", "n", "size"), "rare")
 
 
 def across(named: DataFrame, prints: DataFrame, most: int) -> DataFrame:
@@ -426,27 +456,29 @@ def _classes(docs: DataFrame) -> DataFrame:
     """node, label for every row of docs (node, text), whose nodes are distinct."""
     sketches = materialize(docs.mapInArrow(lambda it: given_back(_sketch(it)), "node long, digest binary, n long, keys array<long>"), "sketches")
     worded = sketches.where("digest is not null")
-    classes = materialize(worded.groupBy("digest").agg(F.min("node").alias("node"), F.first("n").alias("n")), "classes")
-    rows = worded.groupBy("digest").agg(F.min("node").alias("node"), F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "node")
-    shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1")
-    members = materialize(rows.join(shared, "key"), "members")
+    classes = materialize(worded.groupBy("digest").agg(F.min("node").alias("node")), "classes")
+    rows = worded.groupBy("digest").agg(F.min("node").alias("node"), F.first("n").cast("int").alias("n"), F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "node", "n")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("least")).where("size > 1")
+    members = materialize(rows.join(shared, "key").select("key", "node", "n", "size", F.col("least.node").alias("head"), F.col("least.n").alias("head_n")), "members")
     # one head a member links the most part of a large group; the other heads follow
-    first = members.groupBy("node").agg(F.min("head").alias("head"))
-    tried = materialize(_close(first.select(F.col("head").alias("a"), F.col("node").alias("b")), classes), "pairs")
+    stars = members.where("node <> head").where(_fitting(F.col("n"), F.col("head_n"))).select("head", "node").distinct()
+    first = stars.groupBy("node").agg(F.min("head").alias("head"))
+    worn = some_texts(docs, members).mapInArrow(lambda it: given_back(_word_bags(it)), "node long, n long, bag binary")
+    bags = materialize(worn, "bags")
+    tried = materialize(_close(first.select(F.col("head").alias("a"), F.col("node").alias("b")), bags), "pairs")
     labels = materialize(components(verified(tried, some_texts(docs, both_ends(tried)))), "labels")
 
     def linked(pairs: DataFrame, texts: DataFrame | None = None) -> None:
         nonlocal tried, labels
-        new = materialize(_close(pairs, classes).join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = materialize(_close(pairs, bags, tried), "pairs")
         if not new.isEmpty():
             tried = tried.union(new)
             labels = with_links(labels, verified(new, some_texts(docs, both_ends(new)) if texts is None else texts))
 
-    stars = members.where("node <> head").select("head", "node").distinct()
     by_head = labels.select(F.col("node").alias("head"), F.col("label").alias("other"))
     apart = _named(stars, labels).join(by_head, "head", "left").where(F.coalesce("other", "head") != F.col("label"))
     linked(apart.select(F.col("head").alias("a"), F.col("node").alias("b")))
-    linked(_small_pairs(_named(members.where(F.col("size") <= SMALL).select("key", "node"), labels)))
+    linked(_small_pairs(_named(members.where(F.col("size") <= SMALL).select("key", "node", "n"), labels)))
     large = _named(members.where(F.col("size") > SMALL).select("key", "node"), labels)
     mixed = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     crowd = materialize(large.join(mixed, "key", "left_semi").select("node").distinct(), "crowd")
@@ -454,12 +486,12 @@ def _classes(docs: DataFrame) -> DataFrame:
         texts = materialize(some_texts(docs, crowd).join(crowd, "node", "left_semi"), "crowd")
         prefixes = crowded_prefixes(texts)
         prints = prefixes.select("node", "n", "bag")
-        by_pair = _shared(prefixes.select(F.explode("pairs").alias("key"), "node"), labels)
+        by_pair = _shared(prefixes.select(F.explode("pairs").alias("key"), "node", "n"), labels)
         dense = by_pair.where(F.col("size") > SMALL).select("node").distinct()
-        by_word = _shared(prefixes.join(dense, "node", "left_semi").select(F.explode("words").alias("key"), "node"), labels)
-        few = by_pair.where(F.col("size") <= SMALL).unionByName(by_word.where(F.col("size") <= SMALL)).select("key", "node")
+        by_word = _shared(prefixes.join(dense, "node", "left_semi").select(F.explode("words").alias("key"), "node", "n"), labels)
+        few = by_pair.where(F.col("size") <= SMALL).unionByName(by_word.where(F.col("size") <= SMALL)).select("key", "node", "n")
         many = by_word.where(F.col("size") > SMALL).select("key", "node")
-        linked(alike(_close(_small_pairs(_named(few, labels)), classes), prints), texts)
+        linked(_small_pairs(_named(few, labels)), texts)
         most = SMALL
         while not many.isEmpty():
             found = across(_named(many, labels), prints, most)
