@@ -292,10 +292,14 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(ok))
 
 
-def _close(pairs: DataFrame, bags: DataFrame, tried: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) whose lengths and bags of words allow a link, each once, without those tried."""
+def _new(pairs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b), each once, without those seen before."""
     each = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    each = each if tried is None else each.join(tried, ["a", "b"], "left_anti")
+    return materialize(each if seen is None else each.join(seen, ["a", "b"], "left_anti"), "seen")
+
+
+def _close(each: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lengths and bags of words allow a link."""
     by_a, by_b = (bags.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("bag").alias("b" + c)) for c in "ab")
     both = each.join(by_b, "b").join(by_a, "a").where(_fitting(F.col("na"), F.col("nb")))
     return both.mapInArrow(lambda it: given_back(_alike(it)), "a long, b long")
@@ -465,14 +469,16 @@ def _classes(docs: DataFrame) -> DataFrame:
     first = stars.groupBy("node").agg(F.min("head").alias("head"))
     worn = some_texts(docs, members).mapInArrow(lambda it: given_back(_word_bags(it)), "node long, n long, bag binary")
     bags = materialize(worn, "bags")
-    tried = materialize(_close(first.select(F.col("head").alias("a"), F.col("node").alias("b")), bags), "pairs")
+    seen = _new(first.select(F.col("head").alias("a"), F.col("node").alias("b")))
+    tried = materialize(_close(seen, bags), "pairs")
     labels = materialize(components(verified(tried, some_texts(docs, both_ends(tried)))), "labels")
 
     def linked(pairs: DataFrame, texts: DataFrame | None = None) -> None:
-        nonlocal tried, labels
-        new = materialize(_close(pairs, bags, tried), "pairs")
+        nonlocal seen, labels
+        unseen = _new(pairs, seen)
+        seen = seen.union(unseen)
+        new = materialize(_close(unseen, bags), "pairs")
         if not new.isEmpty():
-            tried = tried.union(new)
             labels = with_links(labels, verified(new, some_texts(docs, both_ends(new)) if texts is None else texts))
 
     by_head = labels.select(F.col("node").alias("head"), F.col("label").alias("other"))
