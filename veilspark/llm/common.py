@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of text hashed at a time inside a task; bounds numpy temporaries.
 SLICE_BYTES = 1 << 20
@@ -59,6 +61,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def positions(df: DataFrame, by: list[str], order: list[str], tag: str) -> DataFrame:
+    """df with `position` (from 0, in the order of `order`, nulls first) within
+    each value of `by` (nulls are a value) and `total`, the number of its rows.
+
+    Rows are dealt by ranges of (by, order), so a value of `by` with a third of
+    all rows lies in many tasks; each range adds where the value's rows in
+    earlier ranges end. Those facts are one row a value and range."""
+    keys = [F.col(c).asc_nulls_first() for c in (*by, *order)]
+    narrow = materialize(df, tag)  # dealing by ranges reads its input twice
+    laid = materialize(narrow.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), tag)
+    laid = laid.withColumn("_range", F.shiftrightunsigned("_at", 33))
+    spans = laid.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    whole, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(
+        F.col("_range").alias("_r"),
+        *[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)],
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_n").over(whole).alias("total"),
+    )
+    same = F.col("_range") == F.col("_r")
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    return laid.join(spans, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias("position"), "total")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part has about `limit` bytes of `column`; one
     longer text is a part of its own."""

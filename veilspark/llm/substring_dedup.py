@@ -31,7 +31,6 @@ a very long text is a part of its own size; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -41,11 +40,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, mix64, range_hashes, slices, text_buffer, window_starts, words
+from .common import Powers, range_hashes, slices, text_buffer, window_starts, words
+from .count_min import DEPTH, SKETCH, answers_of, counters, merge_shard, repeated, sketch
 
 #: Words of the sequences whose smallest hash stands for a window.
 GRAM = 6
-DEPTH = 2
 #: Counters of one shard of a sketch row, and counters for each expected entry.
 SHARD_CELLS, PER_ENTRY = 1 << 21, 4
 #: Bytes of text of a part and of a task, which takes its parts one after another.
@@ -84,24 +83,6 @@ def _exact_keys(hashes: np.ndarray, other: np.ndarray, at: np.ndarray, size: int
     return one.view(np.int64), two.view(np.int64)
 
 
-def _cells(entries: np.ndarray, row: int, shards: int, cells: int) -> np.ndarray:
-    """Counter of each entry in a sketch row: shard * cells + counter of the shard."""
-    entries = mix64(entries)  # minimisers are small hashes
-    shard = (entries >> np.uint64(33)) & np.uint64(shards - 1)
-    cell = mix64(entries + np.uint64((row + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) & np.uint64(cells - 1)
-    return (shard * np.uint64(cells) + cell).astype(np.int64)
-
-
-def _packed(cells: np.ndarray, twice: np.ndarray) -> bytes:
-    """Rising counters of a shard with the mark "two or more", as compressed gaps."""
-    return zlib.compress((np.diff(cells, prepend=0).astype(np.uint32) << 1 | twice).tobytes(), 1)
-
-
-def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    gaps = np.frombuffer(zlib.decompress(raw), np.uint32)
-    return np.cumsum(gaps >> 1, dtype=np.int64), (gaps & 1).astype(np.uint8)
-
-
 def _part_sketch(docs: pa.Table, size: int, shards: int, cells: int) -> pa.Table:
     part = docs.column("part")[0].as_py()
     found: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
@@ -110,61 +91,14 @@ def _part_sketch(docs: pa.Table, size: int, shards: int, cells: int) -> pa.Table
             _, _, counts, least, _, _ = _windows(piece.column("text"), size)
             entries, _ = _entries(least, counts)
             for row in range(DEPTH):
-                found[row].append(_cells(entries, row, shards, cells))
-    out: dict[str, list] = {"shard": [], "row": [], "cells": []}
-    for row in range(DEPTH):
-        hit, n = np.unique(np.concatenate(found[row]), return_counts=True)
-        shard = hit // cells
-        begins = np.flatnonzero(np.diff(shard, prepend=-1))
-        for begin, end in zip(begins, np.append(begins, len(hit))[1:], strict=True):
-            out["shard"].append(int(shard[begin]))
-            out["row"].append(row)
-            out["cells"].append(_packed(hit[begin:end] - shard[begin] * cells, (n[begin:end] > 1).astype(np.uint32)))
-    return pa.table(
-        {
-            "part": pa.array([part] * len(out["row"]), pa.int64()),
-            "shard": pa.array(out["shard"], pa.int64()),
-            "row": pa.array(out["row"], pa.int32()),
-            "cells": pa.array(out["cells"], pa.binary()),
-        }
-    )
-
-
-def _merge_shard(sketches: pa.Table, cells: int) -> pa.Table:
-    """Adds up one shard of all parts' sketches; each part's counters of two or more."""
-    counters = np.zeros(cells, np.uint8)
-    column = sketches.column("cells")
-    for raw in column:
-        hit, twice = _unpacked(raw.as_py())
-        counters[hit] = np.minimum(2, counters[hit] + 1 + twice)
-    answers = []
-    for raw in column:
-        hit, _ = _unpacked(raw.as_py())
-        hit = hit[counters[hit] == 2]
-        answers.append(_packed(hit, np.zeros(len(hit), np.uint32)))
-    at = sketches.schema.get_field_index("cells")
-    return sketches.set_column(at, "cells", pa.array(answers, pa.binary()))
-
-
-def _answers(table: pa.Table, cells: int) -> list[np.ndarray]:
-    """For each sketch row the sorted counters that are two or more in the merged sketch."""
-    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(DEPTH)]
-    for batch in table.to_batches():
-        for shard, row, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "row", "cells")), strict=True):
-            if raw is not None:
-                found[row].append(_unpacked(raw)[0] + shard * cells)
-    return [np.sort(np.concatenate(f)) for f in found]
+                found[row].append(counters(entries, row, shards, cells))
+    return sketch(part, found, cells)
 
 
 def _repeated(least: np.ndarray, counts: np.ndarray, answers: list[np.ndarray], shards: int, cells: int) -> np.ndarray:
     """Which windows have an estimate of two or more."""
     entries, run = _entries(least, counts)
-    found = np.ones(len(entries), bool)
-    for row, known in enumerate(answers):
-        wanted = _cells(entries, row, shards, cells)
-        at = np.searchsorted(known, wanted)
-        found &= np.append(known, -1)[at] == wanted
-    return found[run]
+    return repeated(entries, answers, shards, cells)[run]
 
 
 def _owned(one: np.ndarray, two: np.ndarray, ids: np.ndarray, firsts: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -222,13 +156,13 @@ def substring_dedup(docs: DataFrame, size: int = 13, cells: int = SHARD_CELLS, p
 
     answers = (
         dealt.groupBy("part")
-        .applyInArrow(lambda t: _part_sketch(t, size, shards, cells), "part long, shard long, row int, cells binary")
+        .applyInArrow(lambda t: _part_sketch(t, size, shards, cells), SKETCH)
         .groupBy("shard", "row")
-        .applyInArrow(lambda t: _merge_shard(t, cells), "part long, shard long, row int, cells binary")
+        .applyInArrow(lambda t: merge_shard(t, cells), SKETCH)
     )
 
     def candidates(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        known = _answers(answers, cells)
+        known = answers_of(answers, cells)
         out = []
         for batch in docs.to_batches():
             for piece in slices(batch, "text"):
@@ -250,7 +184,7 @@ def substring_dedup(docs: DataFrame, size: int = 13, cells: int = SHARD_CELLS, p
     )
 
     def remove(docs: pa.Table, facts: pa.Table) -> pa.Table:
-        known = _answers(facts, cells)
+        known = answers_of(facts, cells)
         facts = facts.filter(pc.is_valid(facts.column("h1"))).sort_by("h1")
         firsts = tuple(facts.column(c).to_numpy() for c in ("h1", "h2", "doc_id"))
         out = []
