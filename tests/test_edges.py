@@ -33,7 +33,7 @@ def test_split_without_strata(spark):
     single = spark.createDataFrame([(i, int(i == 3)) for i in range(10)], "id long, y int")
     both = spark.createDataFrame([(i, i % 2) for i in range(20)], "id long, y int")
     for df, n in ((one, 2), (single, 2), (both, 4), (one.limit(0), 0)):
-        assert utility.test_split(df, "y", "id", "t").where("test").count() == n
+        assert utility.class_split(df, "y", "id", "t").where("test").count() == n
 
 
 def test_holdout_of_few_rows():
@@ -49,7 +49,10 @@ def test_epsilon_bound_is_where_the_tail_meets_alpha():
     assert audit.epsilon_bound(40, 40) == pytest.approx(audit.epsilon_ceiling(40))
     assert all(audit.epsilon_ceiling(audit.canaries_needed(e)) >= e > audit.epsilon_ceiling(audit.canaries_needed(e) - 1) for e in (0.5, 1.0, 2.0, 4.0))
     found = audit.compare_auditors(60)
-    assert found["one_run"] > found["paired"] and found["runs_saved"] == 59
+    assert found["one_run_guesses"] == 60 and found["one_run_ceiling"] == pytest.approx(2.972, abs=1e-3)
+    assert found["paired_canaries"] == 30 and found["paired_ceiling"] == pytest.approx(audit.paired_ceiling(30))
+    assert (found["canaries_for_1"], found["canaries_for_4"], found["canaries_for_8"]) == (10, 166, 8932)
+    assert audit.compare_auditors(1)["paired_ceiling"] == 0
 
 
 def test_ledger_of_any_letters(spark, tmp_path):

@@ -247,7 +247,8 @@ def test_utility_and_attribute_inference(spark):
     train, test = df.where("rid < 600"), df.where("rid >= 600")
     good = utility.utility(train, test, train, ["age", "hours"], "income")
     assert good["trtr"] > 0.7 and good["gap"] < 0.05 and good["mean_shift"] == pytest.approx(0, abs=1e-9)
-    found = attacks.attribute_inference(train, test, train, ["age", "hours"], "income")
+    people = PublicSchema((ColumnSpec("age", "numerical", 18, 80), ColumnSpec("hours", "numerical", 10, 60), ColumnSpec("income", "categorical", categories=("<=50K", ">50K"))))
+    found = attacks.attribute_inference(train, test, train, people, "income")
     assert found["attack"] > found["marginal"] + 0.05 and abs(found["over_conditional"]) < 0.05
     assert utility.macro_f1(spark.createDataFrame([("a", "a"), ("b", "a")], "y string, pred string")).first()["macro_f1"] == pytest.approx(1 / 3)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..schema import NUMERICAL, PublicSchema
 from .audit import nearest
 
 #: Records of each kind that are attacked, radius floor, neighbours.
@@ -123,15 +124,34 @@ def exact_matches(release: DataFrame, targets: DataFrame, columns: list[str]) ->
     return targets.agg(F.count("*").alias("targets")).join(hit).select("targets", "unique_matches", (F.col("unique_matches") / F.greatest(F.lit(1), F.col("targets"))).alias("risk"))
 
 
-def attribute_inference(release: DataFrame, targets: DataFrame, reference: DataFrame, numbers: list[str], target: str, seed: int = 0) -> dict[str, float]:
-    """Accuracy of a random forest trained on the release, against the majority
-    of the release and a forest trained on a reference population."""
-    from .utility import forest_predictions
-
-    def accuracy(train: DataFrame) -> float:
-        return forest_predictions(train, targets, numbers, target, trees=50, seed=seed).agg(F.avg((F.col("y") == F.col("pred")).cast("double"))).first()[0]
-
-    majority = release.groupBy(target).count().orderBy(F.desc("count"), target).first()[0]
-    marginal = targets.agg(F.avg((F.col(target) == majority).cast("double"))).first()[0]
-    attack, conditional = accuracy(release), accuracy(reference)
-    return {"attack": attack, "marginal": marginal, "conditional": conditional, "over_marginal": attack - marginal, "over_conditional": attack - conditional}
+def attribute_inference(release: DataFrame, targets: DataFrame, reference: DataFrame, schema: PublicSchema, target: str, seed: int = 0) -> dict[str, float]:
+    """What a release tells about the attribute `target` of the targets: a random
+    forest trained on the release, against the reference population's majority and
+    a forest trained on that population, which never saw the release. Features are
+    the declared columns that all three tables have, categories one-hot over the
+    union of the three tables' values."""
+    from .utility import forest_predictions, macro_f1, union_encoder
+
+    for name, df in (("release", release), ("targets", targets), ("reference", reference)):
+        if target not in df.columns:
+            raise ValueError(f"no column {target!r} in the {name}")
+    features = [c for c in schema.shared(release, targets, reference) if c != target]
+    if not features:
+        raise ValueError("no shared columns to infer from")
+    numbers = [c for c in features if schema[c].kind == NUMERICAL]
+    categories = [c for c in features if schema[c].kind != NUMERICAL]
+    encoder = union_encoder([release, targets, reference], categories) if categories else None
+
+    def scored(train: DataFrame) -> Row:
+        said = forest_predictions(train, targets, numbers, target, trees=50, seed=seed, categories=categories, encoder=encoder)
+        return macro_f1(said).first()
+
+    counts = reference.groupBy(F.col(target).cast("string").alias("y")).agg(F.count("*").alias("n"))
+    top = counts.agg(F.max_by("y", F.struct("n", "y")).alias("y"), F.count("*").alias("classes"), (F.max("n") / F.sum("n")).alias("share")).first()
+    known = targets.agg(F.avg(F.col(target).cast("string").eqNullSafe(F.lit(top["y"])).cast("double")).alias("marginal"), F.count("*").alias("n")).first()
+    attack, conditional = scored(release), scored(reference)["accuracy"]
+    return {
+        "attack": attack["accuracy"], "attack_macro_f1": attack["macro_f1"], "marginal": known["marginal"], "conditional": conditional,
+        "over_marginal": attack["accuracy"] - known["marginal"], "over_conditional": attack["accuracy"] - conditional,
+        "targets": known["n"], "classes": top["classes"], "majority_share": top["share"],
+    }

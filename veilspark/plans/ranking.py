@@ -22,11 +22,14 @@ def _offsets(df: DataFrame, by: list[str]) -> DataFrame:
     return hist.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
 
 
-def dense_index(df: DataFrame, key: Column, ties: str, name: str = "index") -> DataFrame:
-    """df with the rank (from 0) of each row in the order of key, then ties."""
+def dense_index(df: DataFrame, key: Column, ties: str, name: str = "index", by: list[str] | None = None) -> DataFrame:
+    """df with the rank (from 0) of each row in the order of key, then ties,
+    among the rows of equal `by`."""
+    by = by or []
     keyed = df.withColumn("__k", key).withColumn("__p", F.substring("__k", 1, PREFIX))
-    inside = Window.partitionBy("__p").orderBy("__k", ties)
-    ranked = keyed.withColumn("__r", F.row_number().over(inside)).join(F.broadcast(_offsets(keyed, [])), "__p")
+    inside = Window.partitionBy(*by, "__p").orderBy("__k", ties)
+    offsets = _offsets(keyed, by) if by else F.broadcast(_offsets(keyed, by))
+    ranked = keyed.withColumn("__r", F.row_number().over(inside)).join(offsets, [*by, "__p"])
     return ranked.withColumn(name, F.col("__before") + F.col("__r") - 1).drop("__k", "__p", "__r", "__n", "__before")
 
 

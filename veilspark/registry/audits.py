@@ -21,16 +21,22 @@ _NUMBERS = ["n_lines", "sum_qty", "sum_price"]
 _CANARIES = 60
 
 
-def _canary_sql(schema: PublicSchema, count: int, salt: str = "canary") -> str:
-    out = []
+def canary_values(schema: PublicSchema, salt: str, ids: list[str]) -> dict[str, str]:
+    """SQL of a canary's columns that the columns `ids` tell apart."""
+    out = {}
     for c in schema.columns:
         if c.kind == "numerical":
-            off = f"{sql_uniform(salt + 'v' + c.name, 'canary_id')} * {audit.EDGE} * {c.width!r}"
-            out.append(f"CASE WHEN {sql_uniform(salt + 's' + c.name, 'canary_id')} < 0.5 THEN {float(c.upper)!r} - {off} ELSE {float(c.lower)!r} + {off} END AS {c.name}")
+            off = f"{sql_uniform(salt + 'v' + c.name, *ids)} * {audit.EDGE} * {c.width!r}"
+            out[c.name] = f"CASE WHEN {sql_uniform(salt + 's' + c.name, *ids)} < 0.5 THEN {float(c.upper)!r} - {off} ELSE {float(c.lower)!r} + {off} END"
         else:
             levels = ", ".join(f"'{v}'" for v in c.categories)
-            out.append(f"([{levels}])[CAST(floor({sql_uniform(salt + 'c' + c.name, 'canary_id')} * {len(c.categories)}) AS BIGINT) + 1] AS {c.name}")
-    return f"SELECT canary_id, {', '.join(out)} FROM (SELECT unnest(range({count})) AS canary_id)"
+            out[c.name] = f"([{levels}])[CAST(floor({sql_uniform(salt + 'c' + c.name, *ids)} * {len(c.categories)}) AS BIGINT) + 1]"
+    return out
+
+
+def _canary_sql(schema: PublicSchema, count: int, salt: str = "canary") -> str:
+    values = ", ".join(f"{v} AS {c}" for c, v in canary_values(schema, salt, ["canary_id"]).items())
+    return f"SELECT canary_id, {values} FROM (SELECT unnest(range({count})) AS canary_id)"
 
 
 @query(f"""
@@ -118,39 +124,6 @@ def audit_ceiling(spark, sf_dir):
     return per.select("level", "r", top(audit.ALPHA).alias("one_run"), top(audit.ALPHA / 2).alias("paired"), F.lit(needed).alias("needed_for_two"), (F.col("r") * 1e-5 > 0.1 * audit.ALPHA).alias("delta_warning"))
 
 
-# ------------------------------------------------------------ detection floor
-
-_LEAKS, _SIZES = (1.0, 0.25, 0.05, 0.0), (10, 25, 50, 100)
-
-
-@query(f"""
-WITH {ORDER_SUMMARY}, grid AS (SELECT leak, m, seed FROM (SELECT unnest({list(_LEAKS)!r}) AS leak), (SELECT unnest({list(_SIZES)!r}) AS m), (SELECT unnest(range(5)) AS seed)),
-cand AS (SELECT rid, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', 'floor' || CAST(seed AS VARCHAR), CAST(rid AS VARCHAR))), rid) AS r FROM os, (SELECT unnest(range(5)) AS seed)),
-top AS (SELECT * FROM cand WHERE r <= 100),
-cells AS (SELECT leak, m, grid.seed, count(*) AS n, sum(CASE WHEN (CAST('0x' || substr(md5(concat_ws('|', 'hit', CAST(rid AS VARCHAR), CAST(grid.seed AS VARCHAR))), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 < 0.5 + leak / 2 THEN 1 ELSE 0 END) AS correct FROM grid JOIN top ON top.seed = grid.seed AND r <= m GROUP BY ALL),
-s AS (SELECT leak, m, avg(correct * 1.0 / n) AS accuracy, avg(CASE WHEN correct * 1.0 / n > 0.5 + 0.85 / sqrt(n) THEN 1.0 ELSE 0.0 END) AS rate FROM cells GROUP BY leak, m)
-SELECT leak, m, round(accuracy, 6) AS accuracy, round(rate, 6) AS detection_rate, min(CASE WHEN rate > 0.5 THEN m END) OVER (PARTITION BY leak) AS floor_m FROM s""")
-def detection_floor(spark, sf_dir):
-    """A simulation of the counting, without plant, release or audit (the sweep itself is
-    operators.floor.detection_sweep): the first m rows of each seed's order are guessed with a success of (1 + leak) / 2; a cell fires above a normal bound; the floor is the smallest
-    m whose detection rate over seeds exceeds one half."""
-    from ..plans.ranking import smallest
-
-    rows = order_summary(spark, sf_dir).select("rid")
-    picked = None
-    for seed in range(5):
-        top = smallest(rows, seeded.key(f"floor{seed}", "rid"), "rid", max(_SIZES)).where("chosen").select("rid", F.lit(seed).alias("seed"), seeded.key(f"floor{seed}", "rid").alias("k"))
-        picked = top if picked is None else picked.unionAll(top)
-    ranked = picked.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("k", "rid")))
-    grid = spark.createDataFrame([(leak, m) for leak in _LEAKS for m in _SIZES], "leak double, m int")
-    hit = (seeded.uniform("hit", "rid", "seed") < 0.5 + F.col("leak") / 2).cast("int")
-    cells = ranked.join(F.broadcast(grid), F.col("r") <= F.col("m")).groupBy("leak", "m", "seed").agg(F.count("*").alias("n"), F.sum(hit).alias("correct"))
-    share = F.col("correct") / F.col("n")
-    summed = cells.groupBy("leak", "m").agg(F.avg(share).alias("accuracy"), F.avg((share > 0.5 + 0.85 / F.sqrt("n")).cast("double")).alias("rate"))
-    floor = F.min(F.when(F.col("rate") > 0.5, F.col("m"))).over(Window.partitionBy("leak"))
-    return summed.select("leak", "m", F.round("accuracy", 6).alias("accuracy"), F.round("rate", 6).alias("detection_rate"), floor.alias("floor_m"))
-
-
 # ------------------------------------------------------------ attacks
 
 _HOLD = f"""hold AS (SELECT *, row_number() OVER (ORDER BY {sql_key('attack', 'rid')}, rid) <= greatest(20, CAST(floor((SELECT count(*) FROM os) * 0.3) AS BIGINT)) AS h FROM os),

@@ -77,7 +77,7 @@ WITH c AS (SELECT *, count(*) OVER (PARTITION BY quality) AS n FROM labels)
 SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {sql_key('strata', 'doc_id')}, doc_id) <= round(n * 0.2) AS test FROM c""")
 def stratified_split(spark, sf_dir):
     df = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return utility.test_split(df, "quality", "doc_id", "strata")
+    return utility.class_split(df, "quality", "doc_id", "strata")
 
 
 @query(f"""
