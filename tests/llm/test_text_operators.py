@@ -149,6 +149,40 @@ def test_language_model_equals_plain_counts(spark):
     assert np.allclose(table, np.log(counts / counts.sum(axis=0)), atol=1e-5)
 
 
+def test_language_equals_brute_force(spark):
+    """Two close languages of very unlike shares: the full likelihood decides, in long texts too."""
+    rng = random.Random(8)
+
+    def text(weights, n):
+        return " ".join("".join(rng.choices("abcdefgh", weights, k=rng.randint(2, 6))) for _ in range(n))
+
+    one, two = (8, 7, 6, 5, 4, 3, 2, 1), (8, 7, 6, 5, 4, 3, 2, 5)
+    rows = [(text(one, 12), "aa") for _ in range(400)] + [(text(two, 60), "ab") for _ in range(8)] + [("zz yy", "zz"), (None, "aa"), ("x", None)]
+    texts = [text(w, n) for w in (one, two) for n in (1, 20, 400)] + ["", None, "123", "É", "zz"]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    want = language_id.brute_force(rows, texts)
+    assert [r["lang_pred"] for r in got] == [w[0] for w in want]
+    assert [r["score"] for r in got] == pytest.approx([w[1] for w in want], abs=1e-3)
+    assert want[5][0] == "ab"  # long enough to outweigh the prior
+
+
+def test_language_pieces_of_a_long_text_add_up():
+    long = "Straße İ ΑΣ " * 200_000  # lower-casing depends on what stands around a letter
+    for n in language_id.NGRAMS:
+        cut = sum(np.bincount(language_id.buckets(run, n, starts)[0], minlength=language_id.BUCKETS) for _, run, starts in language_id._parts(["ab", long, "", "c"]))
+        whole = np.bincount(language_id.buckets([f" {t.lower()} " for t in ("ab", long, "", "c")], n)[0], minlength=language_id.BUCKETS)
+        assert (cut == whole).all()
+
+
+def test_language_of_many_labels(spark):
+    rows = [(f"w{k} " * 3, f"l{k:04d}") for k in range(1100)]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model[0]) == 1100
+    got = language_id.predict(spark.createDataFrame([(7, "w0007 w7 w7"), (8, "w42 w42 w42")], "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {7: "l0007", 8: "l0042"}
+
+
 def test_language_edges(odd_documents, no_documents):
     got = language_id.identify(odd_documents).collect()
     assert len(got) == 12
