@@ -157,7 +157,7 @@ def test_language_equals_brute_force(spark):
         return " ".join("".join(rng.choices("abcdefgh", weights, k=rng.randint(2, 6))) for _ in range(n))
 
     one, two = (8, 7, 6, 5, 4, 3, 2, 1), (8, 7, 6, 5, 4, 3, 2, 5)
-    rows = [(text(one, 12), "aa") for _ in range(400)] + [(text(two, 60), "ab") for _ in range(8)] + [("zz yy", "zz"), (None, "aa"), ("x", None)]
+    rows = [(text(one, 12), "aa") for _ in range(400)] + [(text(two, 1500), "ab") for _ in range(8)] + [("zz yy", "zz"), (None, "aa"), ("x", None)]
     texts = [text(w, n) for w in (one, two) for n in (1, 20, 400)] + ["", None, "123", "É", "zz"]
     model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
     got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
