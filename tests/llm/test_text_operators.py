@@ -179,7 +179,7 @@ def test_language_of_many_labels(spark):
     rows = [(f"w{k} " * 3, f"l{k:04d}") for k in range(1100)]
     model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
     assert len(model[0]) == 1100
-    got = language_id.predict(spark.createDataFrame([(7, "w0007 w7 w7"), (8, "w42 w42 w42")], "doc_id long, text string"), model).collect()
+    got = language_id.predict(spark.createDataFrame([(7, "w7 w7 w7"), (8, "w42 w42 w42")], "doc_id long, text string"), model).collect()
     assert {r["doc_id"]: r["lang_pred"] for r in got} == {7: "l0007", 8: "l0042"}
 
 

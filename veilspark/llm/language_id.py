@@ -193,11 +193,14 @@ def brute_force(labelled: list[tuple], texts: list[str | None]) -> list[tuple[st
     (text, lang) rows: counts a bucket in dictionaries, whole texts, no batches."""
     import unicodedata
     from collections import Counter
+    from functools import cache
     from math import exp, log
 
+    bucket = cache(lambda gram: int(buckets([gram], len(gram))[0][0]))
+
     def grams(text: str) -> list[int]:
         low = f" {text.lower()} "
-        return [int(b) for n in NGRAMS for i in range(len(low) - n + 1) for b in buckets([low[i : i + n]], n)[0]]
+        return [bucket(low[i : i + n]) for n in NGRAMS for i in range(len(low) - n + 1)]
 
     seen, rows = {}, Counter()
     for text, lang in labelled:
