@@ -5,12 +5,14 @@ A rule is (action, host, path); it fits its host and all subdomains where the
 url's path starts with the rule's, and the longest fitting rule decides. Other
 urls are looked up in the list: a Bloom filter of one 64-bit block per BLOCK_KEYS
 listed urls, held as a table (block, bits), passes possible hits, and an exact
-hash join with the list removes the false positives. The filter table is
-broadcast only while its size, known from the list's count, is within
-BROADCAST_BLOCKS; beyond that it is joined by block number.
+hash join with the list removes the false positives. Both joins go by their key,
+block and url; Spark broadcasts the filter or the list where its size allows.
+The pages are read once, by one chain of two joins.
 
 Edge cases: a null url or one without `://` has an empty host and path, fits no
-rule and is not listed, so it is allowed; repeated rows stay.
+rule and is not listed, so it is allowed; repeated rows stay; very long urls are
+judged whole; an empty table gives no row and an empty list blocks nothing; other
+columns of the pages are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: The rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_KEYS = 4
 PROBES = 6
-#: 16 bytes a block: at most 16 MB are broadcast.
-BROADCAST_BLOCKS = 1 << 20
 #: Pages with less html than this put their canonical url on the query's list.
 THIN_BYTES = 1000
 
@@ -77,21 +79,18 @@ def _masked(df: DataFrame, blocks: int) -> DataFrame:
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for pages (page_id, url) and a list
     with the column `canonical`."""
-    listed = listed.where("canonical is not null").select("canonical").distinct()
+    listed = materialize(listed.where("canonical is not null").select("canonical").distinct(), "listed")
     blocks = max(1, listed.count() // BLOCK_KEYS + 1)
     bloom = _masked(listed, blocks).groupBy("__block").agg(F.bit_or("__bits").alias("__filter"))
-    bloom = F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom
     name, action = rule_columns(rules)
     parts = with_parts(pages.select(F.col("page_id").cast("long").alias("page_id"), "url"))
-    probed = _masked(parts.withColumn("rule", name).withColumn("__action", action), blocks)
-    ruled = probed.where("__action is not null or canonical is null").withColumn("__listed", F.lit(False))
-    open_ = probed.where("__action is null and canonical is not null").join(bloom, "__block", "left")
-    hit = F.coalesce(F.col("__filter").bitwiseAND(F.col("__bits")) == F.col("__bits"), F.lit(False))
-    missed = open_.where(~hit).withColumn("__listed", F.lit(False)).drop("__filter")
-    exact = open_.where(hit).join(listed.withColumn("__in", F.lit(True)), "canonical", "left")
-    found = exact.withColumn("__listed", F.col("__in").isNotNull()).drop("__filter", "__in")
-    every = ruled.unionByName(missed).unionByName(found)
-    return every.select("page_id", "host", "path", "rule", F.coalesce("__action", F.when(F.col("__listed"), "block").otherwise("allow")).alias("verdict"))
+    probed = _masked(parts.withColumn("rule", name).withColumn("__action", action), blocks).join(bloom, "__block", "left")
+    may = F.col("__action").isNull() & F.col("canonical").isNotNull() & (F.col("__filter").bitwiseAND(F.col("__bits")) == F.col("__bits"))
+    # other pages ask for a key of their own, so that they neither match nor crowd one task
+    asked = probed.withColumn("__may", F.coalesce(may, F.lit(False))).withColumn("__key", F.when(F.col("__may"), F.col("canonical")).otherwise(F.concat_ws(" ", F.lit("page"), "page_id")))
+    found = asked.join(listed.select(F.col("canonical").alias("__key"), F.lit(True).alias("__in")), "__key", "left")
+    listed_too = F.col("__may") & F.col("__in").isNotNull()
+    return found.select("page_id", "host", "path", "rule", F.coalesce("__action", F.when(listed_too, "block").otherwise("allow")).alias("verdict"))
 
 
 def thin_pages(pages: DataFrame, least: int = THIN_BYTES) -> DataFrame:
