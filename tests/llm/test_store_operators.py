@@ -53,12 +53,24 @@ def test_url_filter_edges(spark):
     assert got == [("1", "block"), ("1", "block"), ("3", "allow"), ("None", "block")]
 
 
-def test_bloom_filter_is_exact_with_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", 0)
+def test_bloom_filter_is_exact_without_broadcasts(spark):
     pages = spark.range(2000).select(F.col("id").alias("page_id"), F.format_string("http://s.com/%d", "id").alias("url"))
-    listed = spark.range(0, 4000, 2).select(F.format_string("s.com/%d", "id").alias("canonical"))
-    got = url_filter.judge(pages, listed)
-    assert got.where("(page_id % 2 = 0) <> (verdict = 'block')").count() == 0
+    pages = pages.unionByName(spark.createDataFrame([(5000, "http://s.com/" + "x" * 2_000_000), (5001, "http://h.org/" + "y" * 2_000_000)], pages.schema))
+    listed = spark.range(0, 4000, 2).select(F.format_string("s.com/%d", "id").alias("canonical")).unionAll(spark.createDataFrame([("h.org/" + "y" * 2_000_000,)], "canonical string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = url_filter.judge(pages, listed).persist()
+        assert got.count() == 2002 and got.where("page_id < 5000 and (page_id % 2 = 0) <> (verdict = 'block')").count() == 0
+        assert [r["verdict"] for r in got.where("page_id >= 5000").orderBy("page_id").collect()] == ["allow", "block"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pages_are_read_once(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    plan = url_filter.judge(pages, url_filter.thin_pages(pages))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{sf}/pages.parquet") == 1
 
 
 # WARC
@@ -79,7 +91,7 @@ def test_warc_round_trip(spark):
     assert len(records) == 9
     for r in records:
         head, body = bytes(r["record"]).split(b"\r\n\r\n", 1)
-        assert head.startswith(b"WARC/1.1\r\n") and body.endswith(b"\r\n\r\n")
+        assert head.startswith(b"WARC/1.1\r\n") and b"\r\nWARC-Date: 20" in head and body.endswith(b"\r\n\r\n")
         if r["record_type"] == "response":
             assert f"Content-Length: {len(body) - 4}".encode() in head
     got = [(str(r["page_id"]), r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc_store.archive_digest(pages).collect()]
@@ -96,6 +108,27 @@ def test_warc_detects_a_wrong_payload(spark):
         warc_store.read_payloads(spark, path).collect()
 
 
+@pytest.mark.parametrize("old, new, told", [("Content-Length: 5", "Content-Length: 6", "length"), ("sha1:a", "sha1:b", "declared")])
+def test_warc_detects_a_wrong_header(spark, old, new, told):
+    path = f"{scratch_root(spark)}/test-{uuid.uuid4().hex}"
+    pages = spark.createDataFrame([(k, "u", f"{k:05d}") for k in range(40)], "page_id long, url string, html string")
+    warc_store.write_archive(pages, path, "2020-01-01T00:00:00Z")
+    assert warc_store.read_records(spark, path).where("contains(decode(record, 'UTF-8'), 'WARC-Date: 2020-01-01T00:00:00Z')").count() == 40
+    other = f"{scratch_root(spark)}/test-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{other}/payloads")
+    changed = F.encode(F.replace(F.decode("header", "UTF-8"), F.lit(old), F.lit(new)), "UTF-8")
+    spark.read.parquet(f"{path}/headers").withColumn("header", changed).write.parquet(f"{other}/headers")
+    with pytest.raises(Exception, match=f"declared {told} differs"):
+        warc_store.read_records(spark, other).collect()
+
+
+def test_warc_of_a_very_long_payload(spark):
+    html = "é<p>" * 3_000_000
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", html)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc_store.archive_digest(pages).collect()}
+    assert got == {1: (15_000_000, "revisit", 2), 2: (15_000_000, "response", None)}
+
+
 def test_warc_of_no_pages(spark):
     assert warc_store.archive_digest(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
