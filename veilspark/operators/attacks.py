@@ -13,6 +13,8 @@ from .audit import nearest
 
 #: Records of each kind that are attacked, radius floor, neighbours.
 MOST_RECORDS, LEAST_RADIUS, NEIGHBOURS = 400, 1e-12, 5
+#: Width of the steps in which exponents of a log-sum-exp are added up.
+STEP = 32
 
 
 def head(df: DataFrame, key: str, rows: int = MOST_RECORDS) -> DataFrame:
@@ -96,16 +98,18 @@ def scott_bandwidth(rows: int, columns: int) -> float:
 
 
 def log_density(targets: DataFrame, rows: DataFrame, columns: list[str], unit, key: str, bandwidth: float, count: int) -> DataFrame:
-    """key and log density of a Gaussian kernel estimate, by log-sum-exp around
-    the nearest row."""
+    """key and log density of a Gaussian kernel estimate, in one pass over the
+    pairs: exponents are summed within steps of STEP, where nothing under- or
+    overflows, so partial sums merge in any order; the few steps of a target then
+    meet at the largest."""
     other = rows.select(*[F.col(c).alias(f"__{c}") for c in columns])
-    fixed = F.broadcast(targets.select(key, *columns))
-    pairs = other.join(fixed).select(key, (-_gap2(columns, unit) / (2 * bandwidth**2)).alias("e"))
-    top = pairs.groupBy(key).agg(F.max("e").alias("top"))
-    total = other.join(fixed.join(F.broadcast(top), key)).select(key, "top", (-_gap2(columns, unit) / (2 * bandwidth**2)).alias("e"))
-    summed = total.groupBy(key).agg(F.max("top").alias("top"), F.sum(F.exp(F.col("e") - F.col("top"))).alias("s"))
+    exponent = (-_gap2(columns, unit) / (2 * bandwidth**2)).alias("e")
+    pairs = other.join(F.broadcast(targets.select(key, *columns))).select(key, exponent).withColumn("step", F.floor(F.col("e") / STEP))
+    steps = pairs.groupBy(key, "step").agg(F.sum(F.exp(F.col("e") - F.col("step") * STEP)).alias("s"))
+    top = F.max("step").over(Window.partitionBy(key))
+    merged = steps.withColumn("top", top).groupBy(key).agg(F.max("top").alias("top"), F.sum(F.col("s") * F.exp((F.col("step") - F.col("top")) * STEP)).alias("s"))
     constant = math.log(count) + len(columns) * math.log(bandwidth * math.sqrt(2 * math.pi))
-    return summed.select(key, (F.col("top") + F.log("s") - constant).alias("log_density"))
+    return merged.select(key, (F.col("top") * STEP + F.log("s") - constant).alias("log_density"))
 
 
 def domias_kernel(release: DataFrame, reference: DataFrame, targets: DataFrame, columns: list[str], key: str) -> DataFrame:
