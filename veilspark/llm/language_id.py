@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, given_back, slices
 
 BUCKETS = 1 << 14
 NGRAMS = (1, 2, 3)
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 BLOCK = 256
 #: Matrix entries gathered at a time.
-GATHERED = 1 << 23
+GATHERED = 1 << 20
 SMOOTHING = 0.5
 _ODD = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -78,7 +78,7 @@ def buckets(pieces: list[str], n: int, starts: np.ndarray | None = None) -> tupl
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in (piece for batch in batches for piece in slices(batch, "text")):
         langs = batch.column("lang").to_pylist()
         for rows, run, starts in _parts(batch.column("text").to_pylist()):
             known = sorted({langs[i] for i in rows})
@@ -107,7 +107,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     languages = sorted(priors)
     counts = np.zeros((len(languages), BUCKETS))
     if languages:
-        merged = rows.mapInArrow(_count, "lang string, block int, n binary").groupBy("lang", "block").applyInPandas(_add, "lang string, block int, n binary")
+        merged = rows.mapInArrow(lambda b: given_back(_count(b)), "lang string, block int, n binary").groupBy("lang", "block").applyInPandas(_add, "lang string, block int, n binary")
         for r in merged.toLocalIterator():
             counts[languages.index(r["lang"]), r["block"] : r["block"] + BLOCK] = np.frombuffer(r["n"], np.int64)
     counts += SMOOTHING
@@ -128,7 +128,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, table, prior = shared.value
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in slices(batch, "text")):
             lettered = batch.column(letter).to_numpy(zero_copy_only=False)
             texts = [t or "" for t in batch.column("text").to_pylist()]
             best, score = ["und"] * len(texts), np.zeros(len(texts))
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ou
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([docs.schema[c] for c in names]).add(out[0], StringType()).add(out[1], DoubleType())
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(lambda b: given_back(run(b)), schema)
 
 
 #: Evidence, in n-grams, at which a text's score is capped.
