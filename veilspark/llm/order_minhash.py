@@ -27,8 +27,9 @@ is lost. After that only pairs of members in different components are left:
   in common; a passage that many documents share is not rare, so it brings nothing
   together. Where at most SMALL members share a rare pair they meet; those of larger
   buckets meet where they share a rare word, and if many do, in salted blocks. Lengths and
-  bags of words rule out most pairs exactly, and of one member's pairs with one
-  component SMALL are aligned first, many times as many a round while any are left.
+  bags of words rule out most pairs exactly; a pair that shares several such words is
+  named at the first of them only; and of one member's pairs with one component SMALL
+  are aligned first, many times as many a round while any are left.
 So thousands of near copies cost one alignment each, a frequent passage costs its
 documents' prefixes, and no pair that shares a bucket is left out.
 
@@ -65,6 +66,8 @@ SMALL = 16
 #: Members of a block of a large bucket; bins of a document's bag of words.
 BLOCK = 2048
 BINS = 512
+#: Smallest crowded keys that a member carries, so that a pair is named at its first one.
+FIRST = 64
 #: Values hashed at a time for one document; more tables wait for the next pass.
 MOST_VALUES = 1 << 21
 #: Bits of the filter that keeps other texts out of a shuffle (more texts: a weaker
@@ -380,11 +383,16 @@ def _bags(column) -> np.ndarray:
 
 def _matches(group: pa.Table) -> pa.Table:
     """Pairs (a, b, r) of a block of left members with a block of right ones, without
-    those that lengths or bags of words rule out or that have one label. r counts the
-    pairs of one left member with one right label, the most alike first."""
+    those that lengths or bags of words rule out, that have one label, or that share a
+    smaller one of their first keys and meet there. r counts the pairs of one left
+    member with one right label, the most alike first."""
     left = group.column("left").to_numpy().astype(bool)
     node, n, label = (group.column(c).to_numpy() for c in ("node", "n", "label"))
     bag, main, most = _bags(group.column("bag")), group.column("main")[0].as_py(), group.column("most")[0].as_py()
+    key, lists = group.column("key")[0].as_py(), group.column("first").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    smaller = np.full((len(node), FIRST), key)  # the key itself stands where there is no smaller one
+    smaller[np.repeat(np.arange(len(node)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
     right, out = np.flatnonzero(~left), []
     if not left.any():  # one block holds the whole bucket
         left = label != main
@@ -397,6 +405,8 @@ def _matches(group: pa.Table) -> pa.Table:
             continue
         apart = _apart(bag[at], bag[i], n[at] - n[i])
         at, apart = at[apart <= allowed], apart[apart <= allowed]
+        later = np.isin(smaller[at], smaller[i][smaller[i] < key]).any(axis=1)
+        at, apart = at[~later], apart[~later]
         at = at[np.lexsort((node[at], apart, label[at]))]
         out += [(node[i], node[j], r) for j, r in zip(at.tolist(), _occurrences(label[at]).tolist() if len(at) else (), strict=True) if r <= most]
     columns = list(zip(*out, strict=True)) or [()] * 3
@@ -435,7 +445,7 @@ def across(named: DataFrame, prints: DataFrame, most: int) -> DataFrame:
     per = per.select("key", F.col("m.label").alias("main"), F.ceil(F.col("s") / BLOCK).alias("rb"), F.ceil((F.col("s") - F.col("m.c")) / BLOCK).alias("lb"))
     mixed = named.join(per, "key").join(prints, "node")
     own_l, own_r = F.pmod(F.xxhash64("node"), "lb").cast("int"), F.pmod(F.xxhash64("node"), "rb").cast("int")
-    kept = ["key", "main", "node", "n", "label", "bag", F.lit(most).alias("most")]
+    kept = ["key", "main", "node", "n", "label", "bag", "first", F.lit(most).alias("most")]
     every_r, every_l = F.explode(F.expr("sequence(0, int(rb) - 1)")), F.explode(F.expr("sequence(0, int(lb) - 1)"))
     left = mixed.where("label <> main and lb * rb > 1").select(*kept, F.lit(True).alias("left"), own_l.alias("l"), every_r.alias("q"))
     both = left.unionByName(mixed.select(*kept, F.lit(False).alias("left"), every_l.alias("l"), own_r.alias("q")))
@@ -478,8 +488,9 @@ def _classes(docs: DataFrame) -> DataFrame:
         unseen = _new(pairs, seen)
         seen = seen.union(unseen)
         new = materialize(_close(unseen, bags), "pairs")
-        if not new.isEmpty():
-            labels = with_links(labels, verified(new, some_texts(docs, both_ends(new)) if texts is None else texts))
+        good = None if new.isEmpty() else verified(new, some_texts(docs, both_ends(new)) if texts is None else texts)
+        if good is not None and not good.isEmpty():
+            labels = with_links(labels, good)
 
     by_head = labels.select(F.col("node").alias("head"), F.col("label").alias("other"))
     apart = _named(stars, labels).join(by_head, "head", "left").where(F.coalesce("other", "head") != F.col("label"))
@@ -491,12 +502,13 @@ def _classes(docs: DataFrame) -> DataFrame:
     if not crowd.isEmpty():
         texts = materialize(some_texts(docs, crowd).join(crowd, "node", "left_semi"), "crowd")
         prefixes = crowded_prefixes(texts)
-        prints = prefixes.select("node", "n", "bag")
         by_pair = _shared(prefixes.select(F.explode("pairs").alias("key"), "node", "n"), labels)
         dense = by_pair.where(F.col("size") > SMALL).select("node").distinct()
         by_word = _shared(prefixes.join(dense, "node", "left_semi").select(F.explode("words").alias("key"), "node", "n"), labels)
         few = by_pair.where(F.col("size") <= SMALL).unionByName(by_word.where(F.col("size") <= SMALL)).select("key", "node", "n")
         many = by_word.where(F.col("size") > SMALL).select("key", "node")
+        own = many.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST).alias("first"))
+        prints = materialize(prefixes.select("node", "n", "bag").join(own, "node"), "prints")
         linked(_small_pairs(_named(few, labels)), texts)
         most = SMALL
         while not many.isEmpty():
