@@ -252,7 +252,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose documents (node, text) align."""
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    checked = both.select("a", "b", "ta", "tb").mapInArrow(lambda it: given_back(_align(it)), "a long, b long, good boolean")
+    # small files are read many at a time: few tasks of Python, however many dealt the joins
+    both = materialize(both.select("a", "b", "ta", "tb"), "aligned")
+    checked = both.mapInArrow(lambda it: given_back(_align(it)), "a long, b long, good boolean")
     return materialize(checked.where("good").select("a", "b"), "verified")
 
 
@@ -305,6 +307,7 @@ def _close(each: DataFrame, bags: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lengths and bags of words allow a link."""
     by_a, by_b = (bags.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("bag").alias("b" + c)) for c in "ab")
     both = each.join(by_b, "b").join(by_a, "a").where(_fitting(F.col("na"), F.col("nb")))
+    both = materialize(both.select("a", "b", "na", "nb", "ba", "bb"), "compared")
     return both.mapInArrow(lambda it: given_back(_alike(it)), "a long, b long")
 
 
