@@ -19,4 +19,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import audits, cells, marginals, rows  # noqa: F401
+    from . import audits, cells, ingest, marginals, rows  # noqa: F401
