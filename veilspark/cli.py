@@ -37,13 +37,9 @@ def _input(spark: SparkSession, args) -> tuple:
 def run(args) -> int:
     spark = _session()
     df, schema = _input(spark, args)
-    results = [release.run_release(df, schema, release.Cell(args.mechanism, eps, args.seed, canaries=args.canaries), target=args.target) for eps in args.eps]
-    head = None
-    if args.ledger:
-        book = ledger.Ledger(spark, args.ledger)
-        book.append([ledger.Entry(args.input, f"eps={r['eps']:g}", args.mechanism, eps_spent=r["proved_eps"], seed=args.seed) for r in results])
-        head = book.head()
-    sheet = release.data_sheet(results, head) | {"schema_inferred_from_data": not args.schema}
+    cells = [release.Cell(args.mechanism, eps, args.seed, canaries=args.canaries) for eps in args.eps]
+    book = ledger.Ledger(spark, args.ledger) if args.ledger else None
+    sheet = release.run_sweep(df, schema, cells, target=args.target, dataset=args.input, book=book) | {"schema_inferred_from_data": not args.schema}
     if args.sign:
         sheet = ledger.sign_sheet(spark, sheet, args.sign, args.sign.removesuffix(".key") + ".pub")
     text = json.dumps(sheet, sort_keys=True, indent=1)

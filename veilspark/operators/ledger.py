@@ -1,8 +1,9 @@
 """Hash-chained ledger of releases, and signatures.
 
-One writer appends on the driver; the chain lives in an append-only Parquet
-table and is verified as a query: each row's hash over its canonical text, and
-its link to the row before.
+The chain lives in an append-only Parquet table and is verified as a query: each
+row's hash over its canonical text, and its link to the row before. A writer takes
+the number of its first entry by a claim before it writes, so that two writers who
+read the same head cannot both append to it and fork the chain.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import base64
 import hashlib
 import json
 import os
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.claims import append_claimed, claim, give_up
+
 #: What the first entry links to, and the fields of an entry.
 GENESIS = "0" * 64
 FIELDS = "seq long, entry_id string, prev_hash string, timestamp string, dataset_id string, run_id string, mechanism_name string, sensitivity double, noise_scale double, eps_spent double, delta double, seed long, actor string, signature string, hash string"
@@ -68,8 +72,12 @@ def canonical_column() -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *pieces), F.lit("}"))
 
 
+class HeadMoved(Exception):
+    """Another writer appended, or is about to."""
+
+
 class Ledger:
-    """Append-only Parquet table with a single writer."""
+    """Append-only Parquet table; one of several writers appends at a time."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -89,18 +97,34 @@ class Ledger:
         last = self.rows().agg(F.count("*").alias("n"), F.max_by("hash", "seq").alias("h")).first()
         return last["n"], last["h"] or GENESIS
 
-    def append(self, entries: list[Entry], sign=None) -> str:
-        """Append entries in order; returns the hash of the last."""
-        n, link = self.head()
+    def append(self, entries: list[Entry], sign=None, expected: str | None = None, tries: int = 5) -> str:
+        """Append entries in order; returns the hash of the last. With `expected` the
+        head has to be that hash still, else HeadMoved; without, a head that another
+        writer takes is read again, `tries` times in all."""
+        for _ in range(tries):
+            n, link = self.head()
+            if expected is not None and link != expected:
+                raise HeadMoved(f"the head is {link}")
+            if not entries:
+                return link
+            if claim(self.spark, self.path, n):
+                break
+            time.sleep(0.5)
+        else:
+            raise HeadMoved(f"entry {n} is being written; if its writer died, see abandon")
         rows = []
         for i, e in enumerate(entries):
             e = Entry(**(asdict(e) | {"prev_hash": link}))
             link = e.digest()
             rows.append((n + i, e.entry_id, e.prev_hash, e.timestamp, e.dataset_id, e.run_id, e.mechanism_name, float(e.sensitivity), float(e.noise_scale), float(e.eps_spent), float(e.delta), e.seed, e.actor, sign(e.canonical()) if sign else "", link))
-        if rows:
-            self.spark.createDataFrame(rows, FIELDS).coalesce(1).write.mode("append").parquet(self.path)
+        append_claimed(self.spark.createDataFrame(rows, FIELDS), self.path, n)
         return link
 
+    def abandon(self) -> None:
+        """Free the next number, whose writer died before it wrote. To be called by whoever
+        knows that: a writer that is only slow would then fork the chain."""
+        give_up(self.spark, self.path, self.head()[0])
+
 
 def checked(rows: DataFrame) -> DataFrame:
     """rows with link_ok and hash_ok; a chain is sequential, so its links are one

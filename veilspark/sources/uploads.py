@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import NUMERICAL, PublicSchema, infer_nonprivate
-from .claims import claim
+from .claims import append_claimed, claim
 from .scratch import scratch_path
 from .tables import safe_name
 
@@ -123,7 +123,7 @@ class Catalogue:
             seq = (self._all().agg(F.max("seq")).first()[0] or 0) + 1
             if claim(self.spark, self.path, seq):
                 row = (seq, upload.name, upload.path, upload.rows, upload.inferred, upload.schema.to_json(), list(upload.warnings))
-                self.spark.createDataFrame([row], self.COLUMNS).coalesce(1).write.mode("append").parquet(self.path)
+                append_claimed(self.spark.createDataFrame([row], self.COLUMNS), self.path, seq)
                 return seq
             time.sleep(0.5)
         raise UploadError(f"entry {seq} is being written by another")
