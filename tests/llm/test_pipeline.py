@@ -1,5 +1,10 @@
+import pyarrow as pa
+import pyarrow.compute as pc
+import pytest
+from pyspark.sql.types import StringType, StructType
+
 import corpus_pipeline
-from veilspark.llm import decontaminate, language_id, order_minhash, secret_scan
+from veilspark.llm import decontaminate, language_id, order_minhash, piece_codec, secret_scan
 from veilspark.llm.common import materialize
 
 
@@ -33,3 +38,28 @@ def test_odd_and_empty_documents(spark, sf, odd_documents, no_documents):
         for _, stage in corpus_pipeline.STAGES:
             docs = materialize(stage(spark, docs, sf), "test")
         docs.count()
+
+
+class Taken:
+    """A table whose mapInArrow gives the function that tasks would run."""
+
+    columns, schema = ["text"], StructType().add("text", StringType())
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("stage", ["clean", "redact", "encode"])
+def test_large_batches_leave_in_parts(spark, stage):
+    run = {
+        "clean": lambda docs: decontaminate.without_contamination(docs, spark.createDataFrame([(1, "x y z")], "item_id long, text string")),
+        "redact": secret_scan.redact,
+        "encode": lambda docs: piece_codec.encode(docs, decoded=True),
+    }[stage](Taken(spark))
+    text = "several words of one text " * 4000
+    parts = list(run(iter([pa.RecordBatch.from_pydict({"text": [text, None, ""] * 100})])))
+    assert [t for part in parts for t in part.column("text").to_pylist()] == [text, None, ""] * 100
+    assert max(pc.sum(pc.binary_length(part.column("text"))).as_py() or 0 for part in parts) <= 4 << 20

@@ -116,16 +116,21 @@ def by_distinct(chunks: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray,
     return values[np.repeat(shift, n) + np.arange(total, dtype=kind)], n
 
 
-def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """batches; at the end of the task its freed memory goes back to the system,
-    since workers live on for other stages."""
-    yield from batches
+def give_back() -> None:
+    """Freed memory of this process goes back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches; at the end of the task its freed memory goes back to the system,
+    since workers live on for other stages."""
+    yield from batches
+    give_back()
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its texts."""
     column = pc.fill_null(column, "").cast(pa.large_string())

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import given_back, slices
+
 WINDOW = 10
 #: Bytes of item text in one automaton (about 60 bytes of memory for each of WINDOW times as many).
 GROUP_BYTES = 1 << 20
@@ -179,10 +181,10 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = build_automaton(shared.value)
-            for batch in batches:
-                yield batch.filter(pa.array([not find(word_list(t.as_py()), automaton)[0] for t in batch.column("text")], pa.bool_()))
+            for part in (part for batch in batches for part in slices(batch, "text")):
+                yield part.filter(pa.array([not find(word_list(t.as_py()), automaton)[0] for t in part.column("text")], pa.bool_()))
 
-        return run
+        return lambda it: given_back(run(it))
 
     for group in item_groups(benchmark):
         docs = docs.mapInArrow(clean(group), docs.schema)

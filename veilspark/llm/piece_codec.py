@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from .common import by_distinct, given_back, slices
+from .common import by_distinct, give_back, given_back, slices
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Code points in one suffix array; a longer chunk has one of its own.
-INDEX_CHARS = 1 << 19
+INDEX_CHARS = 1 << 17
 #: Bytes of text whose different chunks are encoded together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 _BORDER = 0x110000
 _START, _NONE, _UNKNOWN = -1, -2, -3
 _MODELS: dict[str, PieceModel] = {}
@@ -323,16 +323,20 @@ def encode(docs: DataFrame, model: str | None = None, decoded: bool = False) ->
     new = ["piece_ids", "decoded"] if decoded else ["piece_ids"]
     names = [c for c in docs.columns if c not in new]
 
+    def encoded(part: pa.RecordBatch) -> pa.RecordBatch:
+        known = part.column("text").is_valid().to_pylist()
+        ids = [i if k else None for k, i in zip(known, encode_texts(part.column("text"), model), strict=True)]
+        out = [pa.array(ids, pa.list_(pa.int32()))]
+        if decoded:
+            own = model_of(model)
+            out.append(pa.array([None if i is None else own.decode(i) for i in ids], pa.string()))
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *out], [*names, *new])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                known = part.column("text").is_valid().to_pylist()
-                ids = [i if k else None for k, i in zip(known, encode_texts(part.column("text"), model), strict=True)]
-                out = [pa.array(ids, pa.list_(pa.int32()))]
-                if decoded:
-                    own = model_of(model)
-                    out.append(pa.array([None if i is None else own.decode(i) for i in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *out], [*names, *new])
+                yield encoded(part)
+                give_back()
 
     schema = StructType([docs.schema[c] for c in names]).add("piece_ids", ArrayType(IntegerType()))
     return docs.mapInArrow(lambda it: given_back(run(it)), schema.add("decoded", StringType()) if decoded else schema)

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import given_back, slices
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm", "slip", "jwt")
 
@@ -165,9 +167,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = keyword_automaton()
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, "text")):
             out = []
-            for value in batch.column("text"):
+            for value in part.column("text"):
                 text = value.as_py()
                 at, parts = 0, []
                 for start, _, end in scan(text or "", automaton):
@@ -175,10 +177,10 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                         parts += [text[at:start], mask]
                     at = max(at, end)
                 out.append("".join([*parts, text[at:]]) if parts else text)
-            columns = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
+            columns = [pa.array(out, pa.string()) if c == "text" else part.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    changed = docs.mapInArrow(run, docs.schema)
+    changed = docs.mapInArrow(lambda it: given_back(run(it)), docs.schema)
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else changed
 
 
