@@ -5,7 +5,7 @@ from pyspark.sql.types import StringType, StructType
 
 import corpus_pipeline
 from veilspark.llm import decontaminate, language_id, order_minhash, piece_codec, secret_scan
-from veilspark.llm.common import materialize
+from veilspark.llm.common import materialize, small_batches
 
 
 def test_stages_in_turn(spark, sf, documents):
@@ -63,3 +63,15 @@ def test_large_batches_leave_in_parts(spark, stage):
     parts = list(run(iter([pa.RecordBatch.from_pydict({"text": [text, None, ""] * 100})])))
     assert [t for part in parts for t in part.column("text").to_pylist()] == [text, None, ""] * 100
     assert max(pc.sum(pc.binary_length(part.column("text"))).as_py() or 0 for part in parts) <= 4 << 20
+
+
+def test_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat(string(id % 10), 4000) as text")
+    with small_batches(spark):
+        small = docs.mapInArrow(sizes, "bytes long").collect()
+    assert len(small) > 2 and max(r["bytes"] for r in small) < 6 << 20
+    assert len(docs.mapInArrow(sizes, "bytes long").collect()) == 1

@@ -11,6 +11,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ from pyspark.sql.window import Window
 #: Bytes of text hashed at a time inside a task; bounds numpy temporaries.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch in the actions of small_batches.
+BATCH_BYTES = 4 << 20
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -49,6 +53,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Of the actions inside, tasks of Python get Arrow batches of about BATCH_BYTES."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each changed until df has no column of that name."""
     taken = {c.lower() for c in df.columns}

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, fresh, given_back, materialize, mix64, range_hashes, slices, text_buffer, window_starts, words
+from .common import Powers, fresh, given_back, materialize, mix64, range_hashes, slices, small_batches, text_buffer, window_starts, words
 from .components import components, with_links
 
 #: Fewest words of a document that is compared, and words of a sketched sequence.
@@ -233,7 +233,7 @@ def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def some_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """docs (node, text) without most of those that are not in nodes: a Bloom filter
     of FILTER_BITS, whatever the number of nodes, stands before the shuffle."""
-    found = nodes.select("node").distinct().mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = nodes.select("node").distinct().mapInArrow(lambda it: given_back(_filter_words(it)), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 64, np.uint64)
     table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -355,7 +355,8 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             hashes, first = words(*text_buffer(part.column("text")))
             found = [_cells(labelled(hashes[a:b], size), size) for a, b in zip(first[:-1], first[1:], strict=True) for size in (1, 2)]
-            total += np.bincount(np.concatenate(found), minlength=2 * COUNTERS)
+            cells, counts = np.unique(np.concatenate(found), return_counts=True)
+            total[cells] += counts
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "c"])
 
@@ -424,7 +425,7 @@ def crowded_prefixes(texts: DataFrame) -> DataFrame:
     """node, n, words and pairs (its rarest), bag of every text. Frequencies are
     counted by hash, so they order runs of words roughly; any order that is the same
     for all documents is right."""
-    counted = texts.mapInArrow(_count_runs, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    counted = texts.mapInArrow(lambda it: given_back(_count_runs(it)), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
     counts = np.zeros(2 * COUNTERS, np.int64)
     counts[counted["cell"].to_numpy()] = counted["c"].to_numpy()
     shared = texts.sparkSession.sparkContext.broadcast(counts)
@@ -471,6 +472,11 @@ def _numbered(docs: DataFrame, node: str) -> tuple[DataFrame, bool]:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """node, label for every row of docs (node, text), whose nodes are distinct."""
+    with small_batches(docs.sparkSession):
+        return _compared(docs)
+
+
+def _compared(docs: DataFrame) -> DataFrame:
     sketches = materialize(docs.mapInArrow(lambda it: given_back(_sketch(it)), "node long, digest binary, n long, keys array<long>"), "sketches")
     worded = sketches.where("digest is not null")
     classes = materialize(worded.groupBy("digest").agg(F.min("node").alias("node")), "classes")
