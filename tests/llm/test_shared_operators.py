@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.llm import merkle_manifest, prefix_trie, queries, simhash
+from veilspark.llm.common import materialize
 
 TRIE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
 CONV = "conv_id long, turn int, role string, text string"
@@ -134,6 +135,13 @@ def test_simhash_links_lose_nothing(spark, crowd):
     assert grouped(fps, got) == grouped(fps, near)
 
 
+@pytest.mark.parametrize("chain", [2, 3])
+def test_simhash_lookups_are_never_broadcast(spark, chain):
+    fps = materialize(spark.createDataFrame([(x,) for x in clusters(chain)], "fp long"), "fps")
+    met, left = simhash._looked_up(fps, chain, simhash.BUDGET, 3)
+    assert met.count() and "Broadcast" not in met._jdf.queryExecution().toString() + left._jdf.queryExecution().toString()
+
+
 def test_simhash_equals_brute_force(spark, document_rows, documents):
     assert rows_of(simhash.near_duplicates(documents)) == sorted(simhash.brute_force(document_rows), key=str)
 

@@ -182,11 +182,13 @@ def _looked_up(fps: DataFrame, chain: int, budget: int, crowd: int) -> tuple[Dat
     stored = fps.select("fp", F.inline(F.array(*keys)))
     crowded = stored.groupBy("ring", "key").count().where(F.col("count") > crowd).select("ring", "key", F.lit(True).alias("crowded"))
     crowded = materialize(crowded, "crowded")
-    held = stored.join(crowded, ["ring", "key"], "left")
+    # what is exploded is many times what Spark takes it for, so it is never broadcast
+    held = stored.hint("merge").join(crowded.hint("merge"), ["ring", "key"], "left")
     differences = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in allowed(r, chain, budget)]) for r in range(len(SEGMENTS))])
     asked = stored.select(F.col("fp").alias("a"), "ring", "key", F.explode(F.get(differences, F.col("ring"))).alias("other"))
     asked = asked.select("a", "ring", F.col("key").bitwiseXOR(F.col("other")).alias("key"))
-    met = held.where("crowded is null").select(F.col("fp").alias("b"), "ring", "key").join(asked, ["ring", "key"]).where("a <> b")
+    single = held.where("crowded is null").select(F.col("fp").alias("b"), "ring", "key")
+    met = single.hint("merge").join(asked.hint("merge"), ["ring", "key"]).where("a <> b")
     return met.where(_viable(budget)).select("a", "b"), held.where("crowded").select("fp").distinct()
 
 
@@ -218,10 +220,10 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -
     rows = materialize(fingerprints(docs), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "different")
     labels = components(links(fps.select("fp"), budget, crowd)).withColumnRenamed("node", "fp")
-    fps = fps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    fps = fps.hint("merge").join(labels.hint("merge"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = fps.groupBy("label").agg(F.min("least").alias("component_id"))
-    told = fps.select("fp", "label").join(least, "label").select("fp", "component_id")
-    return rows.join(told, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    told = fps.select("fp", "label").hint("merge").join(least.hint("merge"), "label").select("fp", "component_id")
+    return rows.hint("merge").join(told.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def brute_force(rows: list[tuple], budget: int = BUDGET) -> list[tuple]:
