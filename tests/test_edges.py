@@ -1,12 +1,13 @@
 """Small tables, odd texts and bounds of the library's operators."""
 
 import math
+import random
 
 import pytest
 
 from veilspark.functions import seeded
 from veilspark.functions.special import binomial_tail
-from veilspark.operators import audit, ledger, utility
+from veilspark.operators import attacks, audit, ledger, utility
 from veilspark.operators.generators import leaky_release
 from veilspark.operators.release import holdout_size
 from veilspark.plans.ranking import smallest
@@ -84,3 +85,20 @@ def test_leaky_release_keeps_its_share(spark):
     df = spark.range(40).selectExpr("id as rid", "id * 2.0 as x", "id * 3.0 as y")
     got = leaky_release(df, ["x", "y"], 0.25).collect()
     assert len(got) == 40 and sum(r["verbatim"] for r in got) == 10 and all(r["y"] == r["rid"] * 3 for r in got if r["verbatim"])
+
+
+@pytest.mark.parametrize("size", [3, 40, 4000])
+def test_smallest_gaps_sort_only_what_is_near(spark, size):
+    rng = random.Random(size)
+    rows = [(rng.choice([1.0, 2.0, 3.0]), round(rng.uniform(0, 50), rng.choice([0, 3]))) for _ in range(size)] + [(2.0, 7.0)] * 4 + [(None, 1.0)] * 9
+    targets = [(i, rng.uniform(0, 4), rng.uniform(-5, 55)) for i in range(6)] + [(6, 2.0, 7.0)]
+    unit = {"x": (0.0, 1.5), "y": (0.0, 10.0)}
+    release = spark.createDataFrame(rows, "x double, y double").repartition(3)
+    goal = spark.createDataFrame(targets, "rid long, x double, y double")
+    found = attacks._smallest_gaps(goal, release, ["x", "y"], unit, "rid", 5)
+    got = {r["rid"]: r["gaps"] for r in found.collect()}
+    for rid, a, b in targets:
+        want = sorted(math.sqrt(((a - x) / 1.5) ** 2 + ((b - y) / 10) ** 2) for x, y in rows if x is not None)[:5]
+        assert got[rid] == pytest.approx(want, rel=1e-12)
+    # no pair is ranked before the tables of bounds and counted distances
+    assert "SPARK_PARTITION_ID" not in found._jdf.queryExecution().toString().upper()
